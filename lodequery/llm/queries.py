@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan
+from . import html_extract, language_id, license_scan
 
-MODULES = [license_scan]
+MODULES = [license_scan, html_extract, language_id]
 
 
 def queries() -> dict:
