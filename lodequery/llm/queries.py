@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_extract, language_id, license_scan
+from . import chat_format, html_extract, language_id, license_scan
 
-MODULES = [license_scan, html_extract, language_id]
+MODULES = [chat_format, license_scan, html_extract, language_id]
 
 
 def queries() -> dict:
