@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, html_extract, language_id, license_scan
+from . import chat_format, flac_media, html_extract, language_id, license_scan
 
-MODULES = [chat_format, license_scan, html_extract, language_id]
+MODULES = [chat_format, license_scan, html_extract, language_id, flac_media]
 
 
 def queries() -> dict:
