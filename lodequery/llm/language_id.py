@@ -171,6 +171,13 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(id_col, "held_out", "_found.*")
 
 
+def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_share: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and a language with at least ``least_share`` of it, with their columns."""
+    model = fit(docs.where(F.coalesce(learnable(id_col), F.lit(False))), id_col, text_col, lang_col)
+    found = docs.withColumn("_found", language_column(docs.sparkSession, text_col, model))
+    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least_share)).select(*docs.columns)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 

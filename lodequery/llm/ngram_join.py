@@ -270,6 +270,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kinds) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, one of rows with the same id; rows without an id stay."""
+    labels = materialise(ngram_join(docs, id_col, text_col, **kinds), "labels").where("doc_id IS NOT NULL")
+    gone = labels.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    again = labels.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    gone, again = (F.broadcast(x) if x.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else x for x in (gone, again))
+    left = docs.join(gone, id_col, "left_anti")
+    twice = left.join(again, id_col, "left_semi").withColumn("_first", F.row_number().over(W.partitionBy(id_col).orderBy(text_col)))
+    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(twice.where("_first = 1").select(*docs.columns))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
