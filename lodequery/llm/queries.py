@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, flac_media, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules
+from . import chat_format, flac_media, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, sentence_pieces
 
-MODULES = [chat_format, license_scan, html_extract, language_id, flac_media, quality_rules, packing, ngram_join, line_dedup]
+MODULES = [chat_format, license_scan, html_extract, language_id, flac_media, quality_rules, packing, ngram_join, line_dedup, sentence_pieces]
 
 
 def queries() -> dict:
