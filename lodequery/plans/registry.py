@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+from . import search
+
+MODULES: list = [search]
 
 
 def queries() -> dict[str, Query]:
