@@ -8,6 +8,7 @@ in a quantised table decodes the rows and compares them with the query as it is.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def trained(df: DataFrame, vector: str = "vector") -> tuple[float, float, float]
     return low, high, 255.0 / (high - low) if high > low else 1.0
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _round(x: Column) -> Column:
     return F.when(x < 0, -F.floor(-x + 0.5)).otherwise(F.floor(x + 0.5))
 
@@ -72,21 +78,23 @@ def binary_decoded(codes: Column) -> Column:
 def packed(codes: Column, bits: int) -> Column:
     """Codes of 1 or 3 bits as 64-bit words, the first code lowest."""
     per = 64 if bits == 1 else PER_WORD
-    words = F.sequence(F.lit(0), F.ceil(F.size(codes) / per).cast("int") - 1)
-    word = lambda w: F.aggregate(
-        F.transform(F.slice(codes, w * per + 1, F.lit(per)), lambda x, i: F.call_function("shiftleft", x.cast("long"), i * bits)),
-        F.lit(0).cast("long"),
-        lambda a, x: a.bitwiseOR(x),
-    )
-    return F.when(F.size(codes) > 0, F.transform(words, word)).otherwise(F.array().cast("array<bigint>"))
+
+    def words(c: Column) -> Column:
+        word = lambda w: F.aggregate(
+            F.transform(F.slice(c, w * per + 1, F.lit(per)), lambda x, i: F.call_function("shiftleft", x.cast("long"), i * bits)),
+            F.lit(0).cast("long"),
+            lambda a, x: a.bitwiseOR(x),
+        )
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(c) / per).cast("int") - 1), word)
+
+    return F.when(F.size(codes) > 0, _let(codes, words)).otherwise(F.array().cast("array<bigint>"))
 
 
 def unpacked(words: Column, bits: int, dimensions: int) -> Column:
     per, mask = (64, 1) if bits == 1 else (PER_WORD, 7)
     at = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    return F.transform(
-        at, lambda i: F.call_function("shiftrightunsigned", F.get(words, F.floor(i / per).cast("int")), (i % per) * bits).bitwiseAND(mask).cast("int")
-    )
+    shifted = lambda w, i: F.call_function("shiftrightunsigned", F.get(w, F.floor(i / per).cast("int")), (i % per) * bits)
+    return _let(words, lambda w: F.transform(at, lambda i: shifted(w, i).bitwiseAND(mask).cast("int")))
 
 
 def rotation(dimensions: int, seed: int = SEED) -> tuple[list[int], list[int]]:
@@ -119,7 +127,7 @@ def polar(v: Column, dimensions: int) -> Column:
         angle = lambda p: F.atan2(at(n, p * 2 + 1), at(n, p * 2))
         return F.transform(F.sequence(F.lit(0), F.lit(dimensions // 2 - 1)), lambda p: (F.floor((angle(p) + math.pi) / (2 * math.pi) * BINS) % BINS).cast("int"))
 
-    return F.get(F.transform(F.array(normalised(v)), bins), F.lit(0))
+    return _let(normalised(v), bins)
 
 
 def polar_decoded(bins: Column, dimensions: int) -> Column:
@@ -130,7 +138,8 @@ def polar_decoded(bins: Column, dimensions: int) -> Column:
         place[j] = i
     where = F.array(*[F.struct(F.lit(p // 2).alias("p"), F.lit(p % 2).alias("odd"), F.lit(float(signs[j])).alias("s")) for j, p in enumerate(place)])
     middle = lambda b: F.lit(-math.pi) + (b + 0.5) * (2 * math.pi / BINS)
-    return F.transform(where, lambda w: F.when(w["odd"] == 1, F.sin(middle(F.get(bins, w["p"])))).otherwise(F.cos(middle(F.get(bins, w["p"])))) * w["s"])
+    angle = lambda b, w: middle(F.get(b, w["p"]))
+    return _let(bins, lambda b: F.transform(where, lambda w: F.when(w["odd"] == 1, F.sin(angle(b, w))).otherwise(F.cos(angle(b, w))) * w["s"]))
 
 
 def codes_distance(metric: str, a: Column, b: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-from . import search
+from . import ann, changes, search
 
-MODULES: list = [search]
+MODULES: list = [search, ann, changes]
 
 
 def queries() -> dict[str, Query]:
