@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-from . import ann, changes, search
+from . import ann, changes, memories, search, stores
 
-MODULES: list = [search, ann, changes]
+MODULES: list = [search, ann, changes, memories, stores]
 
 
 def queries() -> dict[str, Query]:
