@@ -18,7 +18,7 @@ _KNOWN = ("type", "title", "description", "resource", "tags", "timestamp")
 
 def read_bundle(spark: SparkSession, folder: str) -> DataFrame:
     """``concept`` (path below the folder, without suffix) and ``text`` of every markdown file but index.md and log.md."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).withColumn("_path", F.col("_metadata.file_path"))
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).withColumn("_path", F.col("_metadata.file_path"))
     name = F.lower(F.regexp_extract("_path", r"([^/]+)$", 1))
     files = files.where(name.endswith(".md") & ~name.isin("index.md", "log.md"))
     root = folder.rstrip("/").split("://")[-1].removeprefix("file:")
@@ -50,7 +50,9 @@ def parse_front_matter(raw: str) -> dict[str, list[str]]:
 
 def _bare(value: str) -> str:
     value = value.strip()
-    return value if value[:1] in "\"'" and value[:1] else re.sub(r"\s+#.*$", "", value)
+    if value[:1] in ("'", '"') and value.find(value[0], 1) > 0:
+        return value[: value.find(value[0], 1) + 1]
+    return re.sub(r"\s+#.*$", "", value)
 
 
 def _unquoted(value: str) -> str:

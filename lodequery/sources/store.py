@@ -213,5 +213,5 @@ class Store:
 
 def read_markdown(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``name`` (the file's base name) and ``text`` of markdown files."""
-    files = spark.read.option("wholetext", True).text(paths)
+    files = spark.read.text(paths, wholetext=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
