@@ -167,18 +167,21 @@ def classify(blocks: list[_Block]) -> None:
                 b.label = "near"
             else:
                 b.label = "bad"
-    if any(b.good and b.label == "good" for b in blocks):  # the page says where its article is
+    article = any(b.good and b.label == "good" for b in blocks)
+    if article:  # the page says where its article is
         for b in blocks:
             if not b.good:
                 b.label = "bad"
-    before, seen = [], "bad"
+    decided = lambda b: b.label in ("good", "bad") and (not article or b.good and not b.bad)  # noqa: E731  what isn't the article's own says nothing of its blocks
+    edge = "good" if article else "bad"
+    before, seen = [], edge
     for b in blocks:
         before.append(seen)
-        seen = b.label if b.label in ("good", "bad") else seen
-    after, seen = [], "bad"
+        seen = b.label if decided(b) else seen
+    after, seen = [], edge
     for b in reversed(blocks):
         after.append(seen)
-        seen = b.label if b.label in ("good", "bad") else seen
+        seen = b.label if decided(b) else seen
     for b, prev, nxt in zip(blocks, before, reversed(after), strict=True):
         if b.label == "open":
             b.label = "good" if prev == nxt == "good" or nxt == "good" and b.tag[:1] == "h" and b.tag[1:].isdigit() else "bad"

@@ -167,15 +167,15 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of ``docs``: its id, whether it was held out, and the prediction. A null id is held out."""
     learn = F.coalesce(learnable(id_col), F.lit(False))
     model = fit(docs.where(learn), id_col, text_col, lang_col, rows_per_lang)
-    found = docs.select(id_col, (~learn).alias("held_out"), language_column(docs.sparkSession, text_col, model).alias("_found"))
-    return found.select(id_col, "held_out", "_found.*")
+    found = docs.select(id_col, (~learn).alias("held_out"), language_column(docs.sparkSession, text_col, model).alias("_lodequery_found"))
+    return found.select(id_col, "held_out", "_lodequery_found.*")
 
 
 def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_share: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose text has letters and a language with at least ``least_share`` of it, with their columns."""
     model = fit(docs.where(F.coalesce(learnable(id_col), F.lit(False))), id_col, text_col, lang_col)
-    found = docs.withColumn("_found", language_column(docs.sparkSession, text_col, model))
-    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least_share)).select(*docs.columns)
+    found = docs.withColumn("_lodequery_found", language_column(docs.sparkSession, text_col, model))
+    return found.where((F.col("_lodequery_found.lang_pred") != "und") & (F.col("_lodequery_found.score") >= least_share)).select(*docs.columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,8 +277,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = labels.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
     gone, again = (F.broadcast(x) if x.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else x for x in (gone, again))
     left = docs.join(gone, id_col, "left_anti")
-    twice = left.join(again, id_col, "left_semi").withColumn("_first", F.row_number().over(W.partitionBy(id_col).orderBy(text_col)))
-    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(twice.where("_first = 1").select(*docs.columns))
+    twice = left.join(again, id_col, "left_semi").withColumn("_lodequery_first", F.row_number().over(W.partitionBy(id_col).orderBy(text_col)))
+    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(twice.where("_lodequery_first = 1").select(*docs.columns))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def _rates(c: Callable[[str], Column]) -> dict[str, Column]:
     }
 
 
-def fences(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", counts: str = "_counts") -> DataFrame:
+def fences(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", counts: str = "_lodequery_counts") -> DataFrame:
     """A row for each language and source with a fence for each rate.
 
     Sketches are built per task and merged by the shuffle, so a source with most of the rows is no larger there than others.
@@ -112,35 +112,35 @@ def fences(counted: DataFrame, lang_col: str = "lang", source_col: str = "source
     def fence(k: str) -> Column:
         sketch = F.when(F.col("n") >= LEAST_GROUP, F.col(k)).when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{k}")).otherwise(F.col(f"all_{k}"))
         quantile = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
-        return (quantile(0.5) + SPREAD * F.greatest(quantile(0.5) - quantile(0.1), F.lit(FLOORS[k]))).alias(f"max_{k}")
+        return (quantile(0.5) + SPREAD * F.greatest(quantile(0.5) - quantile(0.1), F.lit(FLOORS[k]))).alias(f"_lodequery_max_{k}")
 
-    return merged.select(F.col("lang").alias("_fence_lang"), F.col("source").alias("_fence_source"), *[fence(k) for k in rates])
+    return merged.select(F.col("lang").alias("_lodequery_lang"), F.col("source").alias("_lodequery_source"), *[fence(k) for k in rates])
 
 
 def _judged(counted: DataFrame, lang_col: str, source_col: str) -> DataFrame:
-    """``counted`` with ``_base_failed`` and ``_kept``."""
+    """``counted`` with the two decisions."""
     limits = fences(counted, lang_col, source_col)
-    c = lambda x: F.col(f"_counts.{x}")
+    c = lambda x: F.col(f"_lodequery_counts.{x}")
     failed = (c("n_words") < LEAST_WORDS) | (100 * c("n_repeat_words") > REPEAT_PERCENT * c("n_words"))
-    joined = counted.join(limits, F.col(lang_col).eqNullSafe(F.col("_fence_lang")) & F.col(source_col).eqNullSafe(F.col("_fence_source")), "left")
+    joined = counted.join(limits, F.col(lang_col).eqNullSafe(F.col("_lodequery_lang")) & F.col(source_col).eqNullSafe(F.col("_lodequery_source")), "left")
     over = F.lit(False)
     for k, r in _rates(c).items():
-        over = over | F.coalesce(r > F.col(f"max_{k}"), F.lit(False))
-    return joined.withColumn("_base_failed", failed).withColumn("_kept", ~failed & ~over)
+        over = over | F.coalesce(r > F.col(f"_lodequery_max_{k}"), F.lit(False))
+    return joined.withColumn("_lodequery_failed", failed).withColumn("_lodequery_kept", ~failed & ~over)
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row for each row of ``df``: its id, base counts, ``base_failed`` and ``kept``."""
-    counted = materialise(df.select(id_col, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counts_column(text_col).alias("_counts")), "quality")
+    counted = materialise(df.select(id_col, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counts_column(text_col).alias("_lodequery_counts")), "quality")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     out = _judged(counted, "lang", "source")
-    return out.select(id_col, *[f"_counts.{x}" for x in names], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return out.select(id_col, *[f"_lodequery_counts.{x}" for x in names], F.col("_lodequery_failed").alias("base_failed"), F.col("_lodequery_kept").alias("kept"))
 
 
 def quality_filter(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` that are kept, with their columns."""
-    counted = materialise(df.withColumn("_counts", counts_column(text_col)), "quality")
-    return _judged(counted, lang_col, source_col).where("_kept").select(*df.columns)
+    counted = materialise(df.withColumn("_lodequery_counts", counts_column(text_col)), "quality")
+    return _judged(counted, lang_col, source_col).where("_lodequery_kept").select(*df.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
