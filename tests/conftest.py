@@ -7,8 +7,7 @@ HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (HERE, os.environ.get("PYTHONPATH")) if x)
 
-SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+from support import SF, TABLES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -40,16 +39,3 @@ def duck():
         p = f"{SF}/{t}.parquet"
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     return c
-
-
-def rows_of(columns, rows):
-    """Rows by the columns in alphabetical order, sorted, with floats rounded."""
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    plain = lambda v: f"{v:.7g}" if isinstance(v, float) else str(v)
-    return sorted(tuple(plain(r[i]) for i in order) for r in rows)
-
-
-def same_as_sql(duck, df, sql):
-    found = duck.sql(sql)
-    assert sorted(df.columns) == sorted(found.columns)
-    assert rows_of(df.columns, df.collect()) == rows_of(found.columns, found.fetchall())
