@@ -9,6 +9,7 @@ shuffled by term.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +42,12 @@ def scored(indexed: DataFrame, query: str, where: Column | None = None) -> DataF
     if not wanted:
         return indexed.where(F.lit(False)).withColumn("bm25", F.lit(0.0))
     names = list(wanted)
-    occurrences = lambda t: F.size(F.filter("tokens", lambda x: x == t))
-    tf = [occurrences(t) for t in names]
-    rows = indexed.withColumn("_tf", F.array(*tf))
+    # Generating a row from the counts keeps them from being computed again by each expression that uses them.
+    occurrences = [F.size("tokens") - F.size(F.array_remove("tokens", t)) for t in names]
+    rows = indexed.select("*", F.explode(F.array(F.array(*occurrences))).alias("_tf"))
     seen = [F.count_if(F.get("_tf", F.lit(i)) > 0).cast("double").alias(f"df{i}") for i in range(len(names))]
     whole = rows.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *seen).alias("_s"))
-    hits = rows.where(F.exists("_tf", lambda x: x > 0))
+    hits = rows.where(reduce(lambda a, b: a | b, [F.get("_tf", F.lit(i)) > 0 for i in range(len(names))]))
     hits = (hits if where is None else hits.where(where)).join(F.broadcast(whole))
     score = F.lit(0.0)
     for i, t in enumerate(names):

@@ -171,13 +171,16 @@ class Documents:
         level = min(2 * need, ceiling) or 1
         if s.order_by:
             level = max(ceiling, 1)
+        sure = s.where is None and self.deleted is None and s.vector is not None and sizes["v"] >= need
         while True:
-            found = self._fused(s, level)
-            if level >= ceiling or found.limit(need).count() >= need:
+            last = sure or level >= ceiling
+            found = self._fused(s, level, not last)
+            if last or found.limit(need).count() >= need:
                 return found
             level = min(2 * level, ceiling)
 
-    def _fused(self, s: Search, level: int) -> DataFrame:
+    def _fused(self, s: Search, level: int, again: bool = False) -> DataFrame:
+        """The rows that pass of both lists; with ``again`` the lists, of at most ``level`` rows each, are kept for a second use."""
         lists = []
         if s.vector is not None and self.vector is not None:
             near = self.df.where(F.col(self.vector).isNotNull()).select(self.id, distance_to(self.metric, F.col(self.vector), s.vector).alias("vector_distance"))
@@ -193,6 +196,7 @@ class Documents:
             if rank in both.columns:
                 score = score + F.when(F.col(rank).isNotNull(), weight / (s.rrf_k + F.col(rank) + 1)).otherwise(0.0)
         both = both.withColumn("score", -score)
+        both = both.persist() if again else both
         rows = self.df.where(self.passes(s.where)).join(F.broadcast(both) if level <= 100_000 else both, self.id)
         missing = {k: F.lit(None).cast(t) for k, t in {"vector_distance": "double", "bm25_score": "double", "vector_rank": "int", "keyword_rank": "int"}.items() if k not in both.columns}
         return rows.withColumns(missing) if missing else rows
