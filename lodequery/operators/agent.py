@@ -91,3 +91,15 @@ def recent_turns(turns: DataFrame, conversation: str, order: str, keep: int = TU
     """The last turns of each conversation: its working context."""
     w = W.partitionBy(conversation).orderBy(F.desc(order))
     return turns.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
+
+
+def focus_project(memory: Documents, project: str) -> Documents:
+    """The view of one project's records, searched as the whole is."""
+    return memory.view(fl.eq("project", project))
+
+
+def context_text(turns: DataFrame, conversation: str, order: str, role: str = "role", text: str = "text", keep: int = TURNS) -> DataFrame:
+    """Each conversation's last turns as one text, a line a turn."""
+    last = recent_turns(turns, conversation, order, keep)
+    lines = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.col(role), F.lit(": "), F.col(text)).alias("line"))))
+    return last.groupBy(conversation).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))

@@ -16,6 +16,7 @@ from lodequery.errors import InvalidConfig
 from lodequery.functions.distance import COSINE
 
 from . import vectors
+from .hybrid import Documents, Search
 
 DAY = 86_400.0
 WEEK_HOURS = 168.0
@@ -276,6 +277,19 @@ def recall_high_priority(memories: DataFrame, query: Sequence[float], k: int, pr
     return near.withColumn("priority_score", priority_score(now, preset.decay, preset.weights)).orderBy(F.desc("priority_score"), "id").limit(k)
 
 
+def recall_by_keywords(memories: Documents, text: str, k: int) -> DataFrame:
+    """The best memories by keyword; relevance is the search's score, lower for better."""
+    return memories.search(Search.by_keyword(text, k)).withColumn("relevance", F.col("score"))
+
+
+def update_priority(memories: DataFrame, ids: DataFrame, priority: str) -> DataFrame:
+    """The memories with the priority of the given ids overwritten."""
+    if priority not in PRIORITY_SCORES:
+        raise InvalidConfig(f"unknown priority {priority!r}")
+    marks = ids.select("id").distinct().withColumn("_hit", F.lit(True))
+    return memories.join(marks, "id", "left").withColumn("priority", F.when(F.col("_hit"), priority).otherwise(F.col("priority"))).drop("_hit")
+
+
 def record_access(memories: DataFrame, ids: DataFrame, now: int, useful: bool = False) -> DataFrame:
     """The memories with the counters of the given ids bumped."""
     marks = ids.select("id").distinct().withColumn("_hit", F.lit(True))

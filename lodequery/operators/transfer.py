@@ -130,3 +130,20 @@ def ranked(hits: DataFrame, project: Project | None, k: int, text: tuple[str, ..
     if project is not None:
         rows = rows.withColumn("adaptation_needed", adaptation(F.col("language"), project.language))
     return rows.orderBy(F.desc("combined_score"), "id").limit(k)
+
+
+def recall_universal(hits: DataFrame, project: Project | None, k: int, **how) -> DataFrame:
+    """Of the 2k best, at most ``k`` universal ones."""
+    return ranked(hits, project, 2 * k, **how).where(F.col("transfer_level") == "universal").orderBy(F.desc("combined_score"), "id").limit(k)
+
+
+def recall_same_domain(hits: DataFrame, project: Project, k: int, **how) -> DataFrame:
+    """Of the 2k best, at most ``k`` that are tagged with the project's domain."""
+    own = F.coalesce("tags", F.lit("")).contains(f"domain:{knowledge_domain(project.domain)}")
+    return ranked(hits, project, 2 * k, **how).where(own).orderBy(F.desc("combined_score"), "id").limit(k)
+
+
+def recall_same_stack(hits: DataFrame, project: Project, k: int, least: float = 0.6, **how) -> DataFrame:
+    """Of the 2k best, at most ``k`` in a language that is close to the project's."""
+    fits = F.when(F.col("language").isNull(), 0.5).otherwise(language_compatibility(project.language, F.col("language")))
+    return ranked(hits, project, 2 * k, **how).where(fits >= least).orderBy(F.desc("combined_score"), "id").limit(k)

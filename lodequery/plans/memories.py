@@ -8,7 +8,7 @@ from lodequery.operators import agent, memory, presets, transfer
 from lodequery.operators.hybrid import Documents
 from lodequery.session import table
 
-from .search import METRICS, Q0, vector_of
+from .search import METRICS, Q0, bm25_sql, vector_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -242,6 +242,24 @@ def agent_recall_kind(spark, sf_dir):
     return agent.recall_kind(m, vector_of(spark, sf_dir, 0), 10, "assistant").select("id", F.round("distance", 6).alias("distance"))
 
 
+@register("agent_context_text", "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM t WHERE n <= 4 GROUP BY conv_id")
+def agent_context_text(spark, sf_dir):
+    c = agent.context_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", keep=4)
+    return c.select("conv_id", F.sha2("context", 256).alias("digest"))
+
+
+@register("memory_recall_keywords", f"WITH {bm25_sql(['the', 'of'], '(SELECT c.conv_id * 100 + turn AS id, text FROM conversations c JOIN embeddings ON vec_id = conv_id % 500)', 'id')} SELECT id, round(-bm25, 6) AS score FROM hits ORDER BY bm25 DESC, id LIMIT 10")
+def memory_recall_keywords(spark, sf_dir):
+    d = Documents(memories(spark, sf_dir), text=["content"])
+    return memory.recall_by_keywords(d, "the of", 10).select("id", F.round("relevance", 6).alias("score"))
+
+
+@register("transfer_same_stack", None)
+def transfer_same_stack(spark, sf_dir):
+    hits = _texts(spark, sf_dir).withColumn("relevance", F.lit(0.0)).withColumn("tags", F.lit("domain:web_backend"))
+    return transfer.recall_same_stack(hits, transfer.Project("p", "rust", "web_backend", ("caching",)), 20, text=("text",)).select("id", "language")
+
+
 @register("agent_recall_similar", None)
 def agent_recall_similar(spark, sf_dir):
     d = Documents(memories(spark, sf_dir), vector="vector", text=["content"])
