@@ -249,11 +249,17 @@ def _subsets(keys: str):
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that links reach."""
+    """One row for each row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that links reach.
+
+    ``percent`` is from 67 to 100: below, linked sets may share a single element, of which there is no subset of two.
+    """
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must be from 67 to 100")
     keys = materialise(_keys(docs, id_col, text_col, size, percent), "keys")
     classes = materialise(keys.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # 1. A prefix element counts where two classes have it. Copies count alike, so the count of a class is its copies times its elements.
-    pairs = keys.where("n > 5").select("sid", F.explode("prefix").alias("element"))
+    # A set links with another only if it is large enough to differ by one element.
+    pairs = keys.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("sid", F.explode("prefix").alias("element"))
     w = W.partitionBy("element")
     shared = pairs.withColumn("low", F.min("sid").over(w)).withColumn("high", F.max("sid").over(w)).where("low < high")
     shared = shared.groupBy("sid").agg(F.count("*").alias("shared"))

@@ -395,6 +395,16 @@ def test_join_against_all_pairs(spark, monkeypatch, blocks):
     assert got == _components(texts)
 
 
+@pytest.mark.parametrize("percent", [70, 100])
+def test_join_at_other_thresholds(spark, percent):
+    texts = near_copies(6, 6, 8)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df, percent=percent).collect()}
+    assert got == _components(texts, percent)
+    with pytest.raises(ValueError):
+        ngram_join.ngram_join(df, percent=50)
+
+
 def test_one_of_each(spark, edge):
     kept = [r["doc_id"] for r in ngram_join.one_of_each(edge).collect()]
     assert kept.count(7) == 1 and 50 not in kept and 51 not in kept and None in kept and 0 in kept and 1 in kept
