@@ -80,7 +80,7 @@ def concepts(files: DataFrame, concept: str = "concept", text: str = "text") ->
     return rows.select(
         concept,
         "body",
-        scalar("type").alias("okf_type"),
+        scalar("type").alias("concept_type"),
         *[scalar(k).alias(k) for k in ("title", "description", "resource", "timestamp")],
         listed(F.col("_m")["tags"]).alias("tags_text"),
         F.transform_values(extra, lambda _, v: listed(v)).alias("extra"),
@@ -100,14 +100,14 @@ def ingest(files: DataFrame, max_size: int = 2000, overlap: int = 50, concept: s
     return chunks.drop("chunk_id"), rows.where(F.col("skipped").isNotNull()).select(concept, "skipped")
 
 
-def search(chunks: DataFrame, query: str, k: int, okf_type: str | None = None, concept: str = "concept") -> DataFrame:
+def search(chunks: DataFrame, query: str, k: int, concept_type: str | None = None, concept: str = "concept") -> DataFrame:
     """The best chunks by keyword, with a snippet of their content."""
     cols = [c for c in FULLTEXT if c in chunks.columns]
     indexed = bm25.index(chunks, F.concat_ws(" ", *cols), "id")
     hits = bm25.scored(indexed, query).select("id", "bm25")
-    rows = chunks if okf_type is None else chunks.where(F.col("okf_type") == okf_type)
+    rows = chunks if concept_type is None else chunks.where(F.col("concept_type") == concept_type)
     out = rows.join(hits, "id").orderBy(F.desc("bm25"), "id").limit(k)
-    return out.select("id", concept, "okf_type", "title", snippet(F.col("content")).alias("snippet"), (-F.col("bm25")).alias("score"))
+    return out.select("id", concept, "concept_type", "title", snippet(F.col("content")).alias("snippet"), (-F.col("bm25")).alias("score"))
 
 
 def remove_concept(chunks: DataFrame, name: str, concept: str = "concept") -> DataFrame:

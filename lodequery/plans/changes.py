@@ -92,16 +92,16 @@ def _bundle(spark, sf_dir):
 
 
 @register("bundle_ingest", """SELECT 'c' || doc_id AS concept, CASE WHEN doc_id % 17 = 0 THEN 'no frontmatter' WHEN doc_id % 10 = 0 THEN 'missing ''type'' field' END AS skipped,
-CASE WHEN doc_id % 17 <> 0 AND doc_id % 10 <> 0 THEN lang END AS okf_type, CASE WHEN doc_id % 17 <> 0 THEN 'T' || doc_id END AS title, CASE WHEN doc_id % 17 <> 0 THEN 'a,b' END AS tags_text, CASE WHEN doc_id % 17 <> 0 THEN 'me' END AS owner FROM documents""")
+CASE WHEN doc_id % 17 <> 0 AND doc_id % 10 <> 0 THEN lang END AS concept_type, CASE WHEN doc_id % 17 <> 0 THEN 'T' || doc_id END AS title, CASE WHEN doc_id % 17 <> 0 THEN 'a,b' END AS tags_text, CASE WHEN doc_id % 17 <> 0 THEN 'me' END AS owner FROM documents""")
 def bundle_ingest(spark, sf_dir):
     c = bundles.concepts(_bundle(spark, sf_dir))
-    return c.select("concept", "skipped", "okf_type", "title", "tags_text", F.col("extra")["x_owner"].alias("owner"))
+    return c.select("concept", "skipped", "concept_type", "title", "tags_text", F.col("extra")["x_owner"].alias("owner"))
 
 
 @register("bundle_search", None)
 def bundle_search(spark, sf_dir):
     chunks, _ = bundles.ingest(_bundle(spark, sf_dir), 1000, 0)
-    return bundles.search(chunks, "license rights", 10, "en").select("id", "concept", "okf_type", "title", "snippet", F.round("score", 6).alias("score"))
+    return bundles.search(chunks, "license rights", 10, "en").select("id", "concept", "concept_type", "title", "snippet", F.round("score", 6).alias("score"))
 
 
 @register("bundle_concepts", "SELECT DISTINCT 'c' || doc_id AS concept FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 10 <> 0 AND doc_id <> 11 AND text <> ''")

@@ -158,7 +158,7 @@ def test_bundle(spark, tmp_path):
     (tmp_path / "index.md").write_text("---\ntype: x\n---\n")
     chunks, skipped = bundles.ingest(bundles.read_bundle(spark, str(tmp_path)))
     row = chunks.collect()[0]
-    assert (row["concept"], row["okf_type"], row["title"], row["tags_text"], row["id"]) == ("a", "note", "A: b", "x,y", "a#0")
+    assert (row["concept"], row["concept_type"], row["title"], row["tags_text"], row["id"]) == ("a", "note", "A: b", "x,y", "a#0")
     assert {r["concept"]: r["skipped"][:6] for r in skipped.collect()} == {"sub/B": "no fro", "sub/c": "broken", "sub/d": "missin"}
     assert bundles.search(chunks, "rust", 5).count() == 1 and bundles.search(chunks, "rust", 5, "other").count() == 0
     assert bundles.upsert(chunks, chunks).count() == 1
