@@ -546,3 +546,24 @@ def test_language_mixture():
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "text here", None), (2, "123", None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language_id.language_id(df).collect()} == {"und"}
+
+
+def test_line_dedup_finds_copies_among_lines_with_common_boilerplate(spark):
+    """Every line of a band is a neighbour of few others; links must not be lost where most of each line is the same."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9)))
+    head, lines = " ".join(word() for _ in range(15)), []
+    for _ in range(60):
+        tail = [word() for _ in range(7)]
+        lines += [" ".join([head, *tail]), " ".join([head, *tail[:-1], word()])]
+    grams = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    label = list(range(len(lines)))
+    for i, g in enumerate(grams):
+        for j in range(i):
+            if len(g & grams[j]) >= 0.8 * len(g | grams[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    wanted = {i for i, x in enumerate(label) if x != i}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert len(wanted) > 40
+    assert {r["id"] for r in line_dedup.dropped_lines(docs).collect()} == wanted
