@@ -3,8 +3,8 @@
 Lines (cut at ``\\n``) of at least ``LEAST_CHARS`` characters take part. A line's
 signature is the smallest hashes of the twelve-character shingles that begin at its
 words (at every character where it has few words); each pair of signature values
-is a band, so two near-equal lines meet with high probability in one of ten
-bands. In a band, lines are paired with their neighbours in hash order and with
+is a band, and so is the only value of a line of one, so two near-equal lines meet
+with high probability in one of ten bands. In a band, lines are paired with their neighbours in hash order and with
 the first one, and a pair is a link where the Jaccard index of all its
 five-character shingles is at least 0.8. Four lines of a band meet each other that
 way. Lines of bands with more that links have not connected, such as lines with
@@ -46,12 +46,20 @@ def _shingles(line: Column, n: int, then: str = "") -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{n}}})){then}"), F.lit(1))
 
 
-def signature(line: Column) -> Column:
-    """The smallest hashes of a line's shingles, sorted."""
-    hashed = lambda found: F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, SIGNATURE)
-    few = lambda found: F.size(found) * 24 < F.length(line)
-    chosen = lambda found: F.when(few(found), hashed(_shingles(line, SIGNATURE_CHARS))).otherwise(hashed(found))
-    return _let(_shingles(line, SIGNATURE_CHARS, "[^ ]*+ *+"), chosen)
+def signatures(line: Column) -> Column:
+    """The smallest hashes of a line's shingles, sorted: of those at its words, of those at every character where these are few, or of each.
+
+    Lines near the border have both, so that similar lines on either side of it have values of one kind.
+    """
+    smallest = lambda hashed: F.slice(F.sort_array(hashed), 1, SIGNATURE)
+    hashed = lambda found: F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+    everywhere = smallest(hashed(_shingles(line, SIGNATURE_CHARS)))
+
+    def chosen(own: Column) -> Column:
+        fewer = lambda n: (F.size(own) < n * SIGNATURE) | (F.size(own) * 24 < n * F.length(line))
+        return F.when(fewer(1), F.array(everywhere)).when(fewer(2), F.array(smallest(own), everywhere)).otherwise(F.array(smallest(own)))
+
+    return _let(hashed(_shingles(line, SIGNATURE_CHARS, "[^ ]*+ *+")), chosen)
 
 
 def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -60,40 +68,37 @@ def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
-    """Lines (key, h, len, in any number of rows) that share a key with others: ``others`` are neighbours in it, ``n`` is its lines."""
+    """Lines (key, h, in any number of rows) that share a key with others: ``others`` are neighbours in it, ``n`` is its lines."""
     w = W.partitionBy("key").orderBy("h")
     # Most keys hold one line: they go before pairs are made, and so do further occurrences of a line.
     rows = rows.withColumns({"before": F.lag("h").over(w), "after": F.lead("h").over(w)})
     rows = rows.where((F.col("before") != F.col("h")) | (F.col("before").isNull() & F.col("after").isNotNull()))
-    line = F.struct("h", "len")
-    others = [F.first(line).over(w), *[F.lag(line, i).over(w) for i in range(1, NEIGHBOURS + 1)]]
-    return rows.select("key", "h", "len", F.array(*others).alias("others"), F.count("*").over(W.partitionBy("key")).alias("n")).where("n > 1")
+    others = [F.first("h").over(w), *[F.lag("h", i).over(w) for i in range(1, NEIGHBOURS + 1)]]
+    return rows.select("key", "h", F.array(*others).alias("others"), F.count("*").over(W.partitionBy("key")).alias("n")).where("n > 1")
 
 
 def _bands(occurrences: DataFrame) -> DataFrame:
-    """The bands of each line that has several signature values."""
-    bands = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(SIGNATURE - 2)),
-            lambda i: F.transform(
-                F.slice("signature", i + 2, F.lit(SIGNATURE)), lambda y: F.xxhash64(F.get(F.col("signature"), i), y)
-            ),
+    """The bands of each line: the pairs of values of a signature, or its only value."""
+
+    def bands(s: Column) -> Column:
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.lit(SIGNATURE - 2)), lambda i: F.transform(F.slice(s, i + 2, F.lit(SIGNATURE)), lambda y: F.xxhash64(F.get(s, i), y))
         )
-    )
-    return occurrences.where(F.size("signature") > 1).select("h", "len", F.explode(bands).alias("key"))
+        return F.when(F.size(s) == 1, s).otherwise(F.flatten(pairs))
+
+    return occurrences.select("h", F.explode(F.flatten(F.transform("signatures", bands))).alias("key"))
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
     """The first shingles in hash order of each line (h, line), so many that two lines that reach the similarity share one."""
     found = _let(_hashed(F.col("line")), lambda s: F.slice(F.sort_array(s), 1, F.floor(F.size(s) * (100 - round(100 * SIMILARITY)) / 100).cast("int") + 1))
-    return texts.select("h", F.length("line").alias("len"), F.explode(found).alias("key"))
+    return texts.select("h", F.explode(found).alias("key"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
     """Candidate pairs ``a < b`` of line hashes."""
-    rows = met.select("h", "len", F.explode("others").alias("o"))
-    rows = rows.where((F.col("o.h") != F.col("h")) & (F.col("o.len") >= SIMILARITY * 0.9 * F.col("len")) & (F.col("len") >= SIMILARITY * 0.9 * F.col("o.len")))
-    return rows.select(F.least("h", "o.h").alias("a"), F.greatest("h", "o.h").alias("b")).distinct()
+    rows = met.select("h", F.explode("others").alias("o")).where("o <> h")
+    return rows.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -128,7 +133,8 @@ def _similar(x: Column, y: Column) -> Column:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are links."""
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    side = lambda h, n, line: texts.select(F.col("h").alias(h), F.col("n").alias(n), F.col("line").alias(line))
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").where(F.least("m", "n") >= SIMILARITY * F.greatest("m", "n"))
     return both.where(_similar(F.col("x"), F.col("y"))).select("a", "b")
 
 
@@ -153,7 +159,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = _rows(docs, id_col, text_col).select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     lines = lines.where(F.length(F.trim("line")) >= LEAST_CHARS)
-    return lines.select("id", "row", "place", F.xxhash64("line").alias("h"), F.length("line").alias("len"), signature(F.col("line")).alias("signature"))
+    return lines.select("id", "row", "place", F.xxhash64("line").alias("h"), signatures(F.col("line")).alias("signatures"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +182,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = source.select(F.split("text", "\n").alias("lines"), F.explode("own").alias("w")).select(
         F.col("w.h").alias("h"), F.get("lines", F.col("w.place")).alias("line")
     )
-    texts = materialise(texts.dropDuplicates(["h"]), "texts")
+    texts = materialise(texts.dropDuplicates(["h"]).select("h", "line", F.size(_hashed(F.col("line"))).alias("n")), "texts")
     links = materialise(_verified(pairs, texts), "links")
     linked = components(links)
     further = _further_links(crowded, linked, texts)

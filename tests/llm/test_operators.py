@@ -567,3 +567,10 @@ def test_line_dedup_finds_copies_among_lines_with_common_boilerplate(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert len(wanted) > 40
     assert {r["id"] for r in line_dedup.dropped_lines(docs).collect()} == wanted
+
+
+def test_line_dedup_compares_lines_of_one_or_few_shingles(spark):
+    """Long first words, text without spaces, and rulers have few distinct shingles at their words, or few at all."""
+    pairs = [("Subscription services", "Subscription services."), ("本网站使用饼干来改善您的浏览体验请点击同意继续", "本网站使用饼干来改善您的浏览体验请点击同意继续。"), ("-" * 40, "-" * 60), ("=-" * 15, "=-" * 90)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
+    assert {r["id"] for r in line_dedup.dropped_lines(docs).collect()} == {1, 3, 5, 7}
