@@ -7,10 +7,9 @@ is a band, and so is the only value of a line of one, so two near-equal lines me
 with high probability in one of ten bands. In a band, lines are paired with their neighbours in hash order and with
 the first one, and a pair is a link where the Jaccard index of all its
 five-character shingles is at least 0.8. Four lines of a band meet each other that
-way. Lines of bands with more that links have not connected, such as lines with
-much boilerplate in common, meet once more, again as neighbours, by each of the
-first fifth of their shingles in hash order, of which lines that reach the
-similarity share one. Of each connected component of equal or linked lines, the
+way. In bands with more, such as those of lines with much boilerplate in common,
+all pairs that links have not connected then meet, block by block. Pairs are told
+apart first by sketches of their shingle sets, which never part a link. Of each connected component of equal or linked lines, the
 first line stays, by document id and place; the others are removed.
 
 All of it is DataFrame functions. Equal lines are merged before pairs are made,
@@ -38,6 +37,8 @@ SIGNATURE = 5
 SHINGLE_CHARS = 5
 SIMILARITY = 0.8
 NEIGHBOURS = 2
+BLOCK_LINES = 512  # of a band, of which all pairs are made in one task
+SKETCH = 4  # longs, a power of two
 BROADCAST_ROWS = 400_000  # of a few dozen bytes each; with more, Spark picks the join
 
 
@@ -89,12 +90,6 @@ def _bands(occurrences: DataFrame) -> DataFrame:
     return occurrences.select("h", F.explode(F.flatten(F.transform("signatures", bands))).alias("key"))
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """The first shingles in hash order of each line (h, line), so many that two lines that reach the similarity share one."""
-    found = _let(_hashed(F.col("line")), lambda s: F.slice(F.sort_array(s), 1, F.floor(F.size(s) * (100 - round(100 * SIMILARITY)) / 100).cast("int") + 1))
-    return texts.select("h", F.explode(found).alias("key"))
-
-
 def _pairs(met: DataFrame) -> DataFrame:
     """Candidate pairs ``a < b`` of line hashes."""
     rows = met.select("h", F.explode("others").alias("o")).where("o <> h")
@@ -112,43 +107,60 @@ def _hashed(line: Column) -> Column:
 
 
 def _similar(x: Column, y: Column) -> Column:
-    """Whether the Jaccard index of two lines' character shingles reaches the threshold.
-
-    Lines of several words that share less than half of them are told apart by these alone:
-    lines of the similarity asked for share far more, and it is cheaper to tell.
-    """
-
-    def apart(w: Column) -> Column:
-        a, b = F.get(w, F.lit(0)), F.get(w, F.lit(1))
-        several = (F.size(a) * 24 >= F.length(x)) & (F.size(b) * 24 >= F.length(y)) & (F.least(F.size(a), F.size(b)) >= 5)
-        return several & (F.size(F.array_intersect(a, b)) * 2 < F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))))
+    """Whether the Jaccard index of two lines' character shingles reaches the threshold."""
 
     def reaches(g: Column) -> Column:
         a, b = F.get(g, F.lit(0)), F.get(g, F.lit(1))
         return _let(F.size(F.array_intersect(a, b)), lambda n: n >= SIMILARITY * (F.size(a) + F.size(b) - n))
 
-    exact = _let(F.array(_hashed(x), _hashed(y)), reaches)
-    return F.when(_let(F.array(F.split(x, " "), F.split(y, " ")), apart), F.lit(False)).otherwise(exact)
+    return _let(F.array(_hashed(x), _hashed(y)), reaches)
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """Of each line (h, line) the count of its shingles and, in ``SKETCH`` longs, the parity of those that fall on each bit."""
+    bit = "shiftleft(1L, cast(shiftright(x, 8) & 63 as int))"
+    parts = [F.expr(f"bit_xor(if((x & {SKETCH - 1}) = {i}, {bit}, 0L))").alias(f"p{i}") for i in range(SKETCH)]
+    return texts.select("h", F.explode(_hashed(F.col("line"))).alias("x")).groupBy("h").agg(F.count("*").alias("n"), *parts)
+
+
+def _may_be_similar(x: str, y: str) -> Column:
+    """Whether the sketches ``x`` and ``y`` are of lines that can reach the threshold.
+
+    Each bit that differs is a shingle of one line only, and links have a limited number of these.
+    """
+    m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(SKETCH)), F.lit(0))
+    return (F.least(m, n) >= SIMILARITY * F.greatest(m, n)) & (apart * (1 + SIMILARITY) <= (1 - SIMILARITY) * (m + n) + 1e-6)
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches don't tell them apart."""
+    x, y = sketches.alias("x"), sketches.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.h")).join(y, F.col("b") == F.col("y.h")).where(_may_be_similar("x", "y")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are links."""
-    side = lambda h, n, line: texts.select(F.col("h").alias(h), F.col("n").alias(n), F.col("line").alias(line))
-    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").where(F.least("m", "n") >= SIMILARITY * F.greatest("m", "n"))
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return both.where(_similar(F.col("x"), F.col("y"))).select("a", "b")
 
 
-def _further_links(crowded: DataFrame, linked: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links of lines in crowded bands (key, h) that are not all of one component, by prefixes of their shingles."""
+def _further_links(crowded: DataFrame, linked: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links of lines in crowded bands (key, h) that are not all of one component: all pairs of different ones, in blocks of lines."""
     roots = linked.withColumnRenamed("id", "h")
     labelled = materialise(crowded.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "crowded")
-    opened = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    lines = materialise(labelled.join(opened, "key", "left_semi").select("h", "root").distinct(), "open")
+    blocks = F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("blocks")
+    opened = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks).where("low <> high")
+    lines = materialise(labelled.join(opened.select("key", "blocks"), "key").join(sketches, "h"), "open")
     if lines.isEmpty():
         return None
-    pairs = _pairs(_meeting(_prefixes(texts.join(lines, "h", "left_semi"))))
-    a, b = (lines.select(F.col("h").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
-    pairs = pairs.join(a, "a").join(b, "b").where("root_a <> root_b").select("a", "b")
+    lines = lines.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    x = lines.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("x")
+    y = lines.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).alias("y")
+    met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "i", "j")]
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.h") < F.col("y.h"))
+    pairs = x.join(y, [*met, once, F.col("x.root") != F.col("y.root"), _may_be_similar("x", "y")])
+    pairs = pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
     return _verified(materialise(pairs, "pairs"), texts)
 
 
@@ -182,10 +194,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = source.select(F.split("text", "\n").alias("lines"), F.explode("own").alias("w")).select(
         F.col("w.h").alias("h"), F.get("lines", F.col("w.place")).alias("line")
     )
-    texts = materialise(texts.dropDuplicates(["h"]).select("h", "line", F.size(_hashed(F.col("line"))).alias("n")), "texts")
-    links = materialise(_verified(pairs, texts), "links")
+    texts = materialise(texts.dropDuplicates(["h"]), "texts")
+    sketches = materialise(_sketches(texts), "sketches")
+    links = materialise(_verified(materialise(_sketched(pairs, sketches), "alike"), texts), "links")
     linked = components(links)
-    further = _further_links(crowded, linked, texts)
+    further = _further_links(crowded, linked, sketches, texts)
     if further is not None:
         linked = components(links.unionByName(further))
     linked = materialise(linked.unionByName(linked.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "h"), "groups")

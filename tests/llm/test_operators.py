@@ -574,3 +574,32 @@ def test_line_dedup_compares_lines_of_one_or_few_shingles(spark):
     pairs = [("Subscription services", "Subscription services."), ("本网站使用饼干来改善您的浏览体验请点击同意继续", "本网站使用饼干来改善您的浏览体验请点击同意继续。"), ("-" * 40, "-" * 60), ("=-" * 15, "=-" * 90)]
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
     assert {r["id"] for r in line_dedup.dropped_lines(docs).collect()} == {1, 3, 5, 7}
+
+
+def test_line_dedup_compares_all_lines_of_crowded_bands(spark, monkeypatch):
+    """Copies that share a band, and each prefix list, with many lines of one template; bands are cut into blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 50)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(4, 8)))
+    head, names = " ".join(word() for _ in range(12)), [word() for _ in range(24)]
+    lines = list(dict.fromkeys(" ".join([head, *(rnd.choice(names) for _ in range(9))]) for _ in range(400)))
+    lines += [x.rsplit(" ", 1)[0] + " " + word() for x in lines[:150]]
+    grams = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    label = list(range(len(lines)))
+    for i, g in enumerate(grams):
+        for j in range(i):
+            if label[i] != label[j] and len(g & grams[j]) >= 0.8 * len(g | grams[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    wanted = {i for i, x in enumerate(label) if x != i}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert len(wanted) >= 150
+    assert {r["id"] for r in line_dedup.dropped_lines(docs).collect()} == wanted
+
+
+def test_line_dedup_compares_lines_with_few_words_in_common(spark):
+    """One long word and several short ones: most words differ, few shingles do."""
+    rnd = random.Random(3)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120))
+    docs = spark.createDataFrame([(0, f"{long} 1 2 3 4 5"), (1, f"{long} 6 7 8 9 5")], "doc_id long, text string")
+    assert {r["id"] for r in line_dedup.dropped_lines(docs).collect()} == {1}
