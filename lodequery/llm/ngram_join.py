@@ -277,14 +277,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kinds) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, one of rows with the same id; rows without an id stay."""
-    labels = materialise(ngram_join(docs, id_col, text_col, **kinds), "labels").where("doc_id IS NOT NULL")
-    gone = labels.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    again = labels.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    """The first row of each component of ``docs``, by id; rows are told apart by id and text.
+
+    Rows without an id come last in a component; those without a word too link with nothing and stay.
+    """
+    key = "_lodequery_key"
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    labels = ngram_join(keyed, key, text_col, **kinds).select(F.col("doc_id").alias(key), "n_shingles", "component_id").distinct()
+    rows = keyed.groupBy(key).agg(F.min(id_col).alias("id"), F.count("*").alias("count"))
+    labels = materialise(rows.join(labels, key), "labels")
+    first = labels.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", key)).alias("first"), F.count("*").alias("members"))
+    gone = labels.join(first.where("members > 1"), "component_id").where(F.col(key) != F.col(f"first.{key}")).select(key)
+    again = labels.where("count > 1 and (n_shingles > 0 or id is not null)").select(key)
     gone, again = (F.broadcast(x) if x.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else x for x in (gone, again))
-    left = docs.join(gone, id_col, "left_anti")
-    twice = left.join(again, id_col, "left_semi").withColumn("_lodequery_first", F.row_number().over(W.partitionBy(id_col).orderBy(text_col)))
-    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(twice.where("_lodequery_first = 1").select(*docs.columns))
+    left = keyed.join(gone, key, "left_anti")
+    twice = left.join(again, key, "left_semi").withColumn("_lodequery_first", F.row_number().over(W.partitionBy(key).orderBy(text_col)))
+    return left.join(again, key, "left_anti").select(*docs.columns).unionByName(twice.where("_lodequery_first = 1").select(*docs.columns))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,14 @@ def test_run_on_unusual_and_empty_tables(spark, tmp_path):
         spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{i}/documents.parquet")
         assert cp.run(spark, f"{tmp_path}/{i}").columns[0] == "doc_id"
     assert cp.run(spark, f"{tmp_path}/0").count() == 0
+
+
+def test_near_copies_are_of_five_words_and_four_fifths(spark):
+    """A text with one word changed has 41 of 51 five-word shingles in common with the first, and 42 of 50 four-word ones."""
+    words = [f"w{i}" for i in range(50)]
+    copy = [*words[:20], "x", *words[21:]]
+    other = [f"v{i}" for i in range(50)]
+    rows = [(1, words), (2, copy), (1, other), (None, [f"u{i}" for i in range(50)]), (None, [*(f"u{i}" for i in range(49)), "x"]), (None, None)]
+    docs = spark.createDataFrame([(i, w and " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r["doc_id"], r["text"] and r["text"].split()[0]) for r in cp.near_copies(spark, docs, SF).collect()}
+    assert got == {(1, "w0"), (1, "v0"), (None, "u0"), (None, None)} and cp.near_copies(spark, docs, SF).count() == 4
