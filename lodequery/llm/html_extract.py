@@ -53,6 +53,11 @@ BAD_NAMES = frozenset(
     "search complementary contentinfo skip".split()
 )
 
+# Of compound names such as ad-box, what may stand beside a bad name.
+PLAIN_NAMES = frozenset("area bar block box bottom button buttons container form global inner items left links list right section site slot top unit wrap wrapper".split())
+# Bad names of places whose items may be articles themselves.
+ITEM_NAMES = frozenset("comment comments disqus respond reply replies discussion related recommended recommendations widget ad ads advert adverts promo".split())
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -60,34 +65,39 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "bad", "good", "tag", "text", "label")
+    __slots__ = ("parts", "linked", "bad", "named", "good", "tag", "text", "label")
 
-    def __init__(self, tag: str, bad: bool, good: bool):
+    def __init__(self, tag: str, bad: bool, named: bool, good: bool):
         self.parts: list[str] = []
         self.linked = 0
-        self.tag, self.bad, self.good = tag, bad, good
+        self.tag, self.bad, self.named, self.good = tag, bad or named, named and not bad, good
 
 
-def _named_bad(attrs: str) -> bool:
+def _bad_names(attrs: str) -> set[str]:
+    """The bad names that are a whole class, id or role, or one with plain names beside them."""
+    found: set[str] = set()
     for m in _ATTR.finditer(attrs):
-        if any(x in BAD_NAMES for x in _NAME.findall((m[2] or m[3] or m[4] or "").lower())):
-            return True
-    return False
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            names = set(_NAME.findall(token))
+            if names <= BAD_NAMES | PLAIN_NAMES:
+                found |= names & BAD_NAMES
+    return found
 
 
 def blocks_of(page: str) -> list[_Block]:
     """The page's blocks with text, in page order, with what their place says of them."""
     out: list[_Block] = []
-    stack: list[tuple[str, int, int]] = []  # open elements: tag, and whether it makes its content bad or good
-    bad = good = links = pos = 0
-    block = _Block("body", False, False)
+    # Open elements: tag, whether it makes its content bad or good, and the counts of bad names and of those with items outside it.
+    stack: list[tuple[str, int, int, int, int]] = []
+    bad = named = items = good = links = pos = 0
+    block = _Block("body", False, False, False)
 
     def cut(tag: str) -> _Block:
         if block.parts:
             block.text = " ".join(html_lib.unescape("".join(block.parts)).split())
             if block.text:
                 out.append(block)
-        return _Block(tag, bad > 0, good > 0)
+        return _Block(tag, bad > 0, named > 0, good > 0)
 
     def add(text: str) -> None:
         if text:
@@ -122,22 +132,29 @@ def blocks_of(page: str) -> list[_Block]:
         if closing:
             if tag != "p" and any(x[0] == tag for x in stack):
                 while stack:
-                    name, was_bad, was_good = stack.pop()
+                    name, was_bad, was_good, named, items = stack.pop()
                     bad, good = bad - was_bad, good - was_good
                     if name == tag:
                         break
-        elif tag in BLOCK_TAGS and tag != "p" or _named_bad(attrs):
-            is_bad = tag in BAD_TAGS or tag == "header" and not good or _named_bad(attrs) and tag not in ("html", "body", "article", "main")
+        elif (names := _bad_names(attrs)) or tag in BLOCK_TAGS and tag != "p":
+            is_bad = tag in BAD_TAGS or tag == "header" and not good
+            if tag in ("html", "body", "article", "main"):
+                names = set()
+            elif good:  # the article's own headline
+                names = names - {"header"}
             if tag == "body":
-                for _, b, g in stack:
-                    bad, good = bad - b, good - g
+                bad = named = items = good = 0
                 stack.clear()
             if tag == "p":  # a paragraph is over where the next block begins
                 block = cut(tag)
-                block.bad |= bool(is_bad)
+                block.named = block.named or bool(names) and not block.bad
+                block.bad |= bool(names)
                 continue
-            stack.append((tag, int(is_bad), int(tag in GOOD_TAGS)))
+            stack.append((tag, int(is_bad), int(tag in GOOD_TAGS), named, items))
+            if tag in GOOD_TAGS and not good and (tag == "main" or not items):  # its place says more than a wrapper's name
+                named = items = 0
             bad, good = bad + int(is_bad), good + int(tag in GOOD_TAGS)
+            named, items = named + bool(names), items + bool(names & ITEM_NAMES)
         if tag in BLOCK_TAGS:
             block = cut(tag)
     add(page[pos:])
@@ -187,11 +204,13 @@ def classify(blocks: list[_Block]) -> None:
             b.label = "good" if prev == nxt == "good" or nxt == "good" and b.tag[:1] == "h" and b.tag[1:].isdigit() else "bad"
         elif b.label == "near":
             b.label = "good" if "good" in (prev, nxt) else "bad"
-    if not any(b.label == "good" for b in blocks):  # a page with doubtful blocks only: its running text
-        for b in blocks:
-            if not b.bad and b.linked == 0 and b.text[0] != "©" and len(b.text) >= SHORT_CHARS:
+    for named, least, density in ((False, SHORT_CHARS, STOP_LOW), (True, LONG_CHARS, STOP_HIGH)):
+        if any(b.label == "good" for b in blocks):
+            break
+        for b in blocks:  # a page with doubtful blocks only: its running text, and then that which only a name calls bad
+            if (b.named if named else not b.bad) and b.linked == 0 and b.text[0] != "©" and len(b.text) >= least:
                 words = _WORD.findall(b.text.lower())
-                if sum(w in STOP_WORDS for w in words) >= STOP_LOW * max(1, len(words)):
+                if sum(w in STOP_WORDS for w in words) >= density * max(1, len(words)):
                     b.label = "good"
 
 

@@ -603,3 +603,16 @@ def test_line_dedup_compares_lines_with_few_words_in_common(spark):
     long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120))
     docs = spark.createDataFrame([(0, f"{long} 1 2 3 4 5"), (1, f"{long} 6 7 8 9 5")], "doc_id long, text string")
     assert {r["id"] for r in line_dedup.dropped_lines(docs).collect()} == {1}
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-header", "search-page", "sidebar", "banner"])
+def test_html_article_in_a_wrapper_with_a_bad_name(name):
+    page = f"<body><div class='{name}'><article><header class='entry-header header'><h1>Head</h1></header><p>Some text.</p></article><div class='ad-box'>Buy</div></div></body>"
+    assert html_extract.main_text(page) == "Head\nSome text."
+
+
+def test_html_names_of_other_places():
+    good = "The cat is on the mat and it was one of the many that they had seen in the house of the king. " * 3
+    assert html_extract.main_text(f"<div class='promo'><p>{good}</p></div>") == good.strip()
+    page = "<main><p>Text.</p><div class='ad-box'>Buy</div><p class='ad'>Buy</p></main><div id='comments'><article><p>Nice post</p></article></div>"
+    assert html_extract.main_text(page) == "Text."
