@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,16 +14,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_root: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests on one machine, a folder is made and set.
+    Where it is unset and all tasks run on this machine, as in tests, a folder is made; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lodequery-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own_root:
+        _own_root.append(tempfile.mkdtemp(prefix="lodequery-"))
+    return _own_root[0]
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [named(c) for c in df.columns]
+
+
+def named(name: str) -> Column:
+    """The column of just this name, which may have dots or spaces."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -1,109 +1,125 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
-Lines (cut at ``\\n``) of at least ``LEAST_CHARS`` characters take part. A line's
-signature is the smallest hashes of the twelve-character shingles that begin at its
-words (at every character where it has few words); each pair of signature values
-is a band, and so is the only value of a line of one, so two near-equal lines meet
-with high probability in one of ten bands. In a band, lines are paired with their neighbours in hash order and with
-the first one, and a pair is a link where the Jaccard index of all its
-five-character shingles is at least 0.8. Four lines of a band meet each other that
-way. In bands with more, such as those of lines with much boilerplate in common,
-all pairs that links have not connected then meet, block by block. Pairs are told
-apart first by sketches of their shingle sets, which never part a link. Of each connected component of equal or linked lines, the
-first line stays, by document id and place; the others are removed.
-
-All of it is DataFrame functions. Equal lines are merged before pairs are made,
-so a very common line costs a row an occurrence. Rows with equal id and text are
-one document; null and empty texts stay as they are; short and blank lines always
-stay; very long lines are compared whole; null ids come first; an empty table
-gives an empty result; :func:`line_dedup` leaves other columns out,
-:func:`dedup_documents` keeps them.
+Lines (cut at ``\\n``) of at least ``LEAST_CHARS`` characters take part. Equal lines
+are merged first, so that all that follows costs a row a distinct line. A line's
+signature is the ``SIGNATURE`` smallest hashes of its twelve-character shingles, one
+from each start, among the smallest in each of ``BINS`` bins; each pair of
+signature values is a band, and so is the only value of a line of one. Lines whose
+five-character shingles have a Jaccard index of 0.8 or more share two of six values
+with a probability of 0.97 where changes lie scattered, of 0.99 where they lie
+together. In a band, lines are paired with the one before in hash order and with
+the first one, and a pair is a link where the Jaccard index of its five-character
+shingles is at least 0.8. In bands of more than three lines, all pairs that links
+have not connected then meet, block by block. Bit sketches of the shingle sets tell
+pairs apart before their texts are read; they give a lower bound on the shingles that
+only one line has, which never parts a link. Of each connected component of equal or
+linked lines, the first line stays, by document id and place; the others are removed.
+
+All of it is DataFrame functions, and no join is forced to be a broadcast. Rows with
+equal id and text are one document; null and empty texts stay as they are; short and
+blank lines always stay; very long lines are compared whole; of equal lines the first
+by id, text hash and place stays, null ids before others; an empty table gives an
+empty result; :func:`line_dedup` leaves other columns out, :func:`dedup_documents`
+keeps them, whatever their names. Lines are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import columns, materialise, named, table
 from .graph import components
 
 LEAST_CHARS = 20
 SIGNATURE_CHARS = 12
-SIGNATURE = 5
+SIGNATURE = 6
+SAMPLED = 16  # hashes of a line that are expected below the bound up to which they are looked at
+BINS = 16
 SHINGLE_CHARS = 5
 SIMILARITY = 0.8
-NEIGHBOURS = 2
 BLOCK_LINES = 512  # of a band, of which all pairs are made in one task
-SKETCH = 4  # longs, a power of two
-BROADCAST_ROWS = 400_000  # of a few dozen bytes each; with more, Spark picks the join
+SKETCH = 8  # longs, a power of two
+_LARGEST = (1 << 63) - 1
 
 
-def _shingles(line: Column, n: int, then: str = "") -> Column:
-    """The shingles of ``n`` characters from each start of a match; ``then`` is what is passed over before the next."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{n}}})){then}"), F.lit(1))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where it is needed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def signatures(line: Column) -> Column:
-    """The smallest hashes of a line's shingles, sorted: of those at its words, of those at every character where these are few, or of each.
+def _points(line: Column) -> Column:
+    """The code points of a line, four bytes each, so that a shingle is cut at once wherever it begins."""
+    return F.encode(line, "UTF-32")
 
-    Lines near the border have both, so that similar lines on either side of it have values of one kind.
-    """
-    smallest = lambda hashed: F.slice(F.sort_array(hashed), 1, SIGNATURE)
-    hashed = lambda found: F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
-    everywhere = smallest(hashed(_shingles(line, SIGNATURE_CHARS)))
 
-    def chosen(own: Column) -> Column:
-        fewer = lambda n: (F.size(own) < n * SIGNATURE) | (F.size(own) * 24 < n * F.length(line))
-        return F.when(fewer(1), F.array(everywhere)).when(fewer(2), F.array(smallest(own), everywhere)).otherwise(F.array(smallest(own)))
+def _shingle(points: Column, i: Column, n: int) -> Column:
+    """The hash of the ``n`` characters from place ``i``."""
+    return F.xxhash64(F.substring(points, 4 * i + 1, F.lit(4 * n)))
 
-    return _let(hashed(_shingles(line, SIGNATURE_CHARS, "[^ ]*+ *+")), chosen)
 
+def _shingled(lines: DataFrame, n: int) -> DataFrame:
+    """A row for each start of a shingle of each line (h, line): ``h``, ``m`` starts, ``i`` and ``x``, the shingle's hash."""
+    rows = lines.select("h", _points(F.col("line")).alias("points")).withColumn("m", (F.length("points") / 4).cast("int") - (n - 1))
+    rows = rows.select("h", "m", "points", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    return rows.select("h", "m", "i", _shingle(F.col("points"), F.col("i"), n).alias("x"))
 
-def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = named(text_col)
+    return docs.select(named(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).where("text <> ''")
 
-def _meeting(rows: DataFrame) -> DataFrame:
-    """Lines (key, h, in any number of rows) that share a key with others: ``others`` are neighbours in it, ``n`` is its lines."""
-    w = W.partitionBy("key").orderBy("h")
-    # Most keys hold one line: they go before pairs are made, and so do further occurrences of a line.
-    rows = rows.withColumns({"before": F.lag("h").over(w), "after": F.lead("h").over(w)})
-    rows = rows.where((F.col("before") != F.col("h")) | (F.col("before").isNull() & F.col("after").isNotNull()))
-    others = [F.first("h").over(w), *[F.lag("h", i).over(w) for i in range(1, NEIGHBOURS + 1)]]
-    return rows.select("key", "h", F.array(*others).alias("others"), F.count("*").over(W.partitionBy("key")).alias("n")).where("n > 1")
 
+def _lines(rows: DataFrame) -> DataFrame:
+    lines = rows.select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    return lines.where(F.length(F.trim("line")) >= LEAST_CHARS).withColumn("h", F.xxhash64("line"))
 
-def _bands(occurrences: DataFrame) -> DataFrame:
-    """The bands of each line: the pairs of values of a signature, or its only value."""
 
-    def bands(s: Column) -> Column:
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.lit(SIGNATURE - 2)), lambda i: F.transform(F.slice(s, i + 2, F.lit(SIGNATURE)), lambda y: F.xxhash64(F.get(s, i), y))
-        )
-        return F.when(F.size(s) == 1, s).otherwise(F.flatten(pairs))
+def signatures(lines: DataFrame) -> DataFrame:
+    """``h``, ``n`` copies and the signature ``s`` of each distinct line of ``lines`` (h, line).
 
-    return occurrences.select("h", F.explode(F.flatten(F.transform("signatures", bands))).alias("key"))
+    Of a long line only hashes in the lowest part of the range are looked at, which holds its smallest ones, and those of
+    the first starts, as a line that repeats a short unit has few different ones, which may all be higher.
+    """
+    rows = _shingled(lines, SIGNATURE_CHARS).withColumn("y", F.shiftrightunsigned("x", 1))
+    low = F.expr(f"y div {SAMPLED} <= {_LARGEST} div m")
+    rows = rows.where((F.col("i") < SIGNATURE_CHARS) | low).select("h", (F.col("i") == 0).alias("begins"), "y")
+    bins = [F.min(F.when(F.col("y").bitwiseAND(F.lit(BINS - 1)) == k, F.col("y"))).alias(f"b{k}") for k in range(BINS)]
+    found = rows.groupBy("h").agg(F.count_if("begins").alias("n"), *bins)
+    smallest = F.slice(F.sort_array(F.array_compact(F.array(*[f"b{k}" for k in range(BINS)]))), 1, SIGNATURE)
+    return found.select("h", "n", smallest.alias("s"))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Candidate pairs ``a < b`` of line hashes."""
-    rows = met.select("h", F.explode("others").alias("o")).where("o <> h")
-    return rows.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+def _bands(found: DataFrame) -> DataFrame:
+    """The bands of each line: the pairs of values of its signature, or its only value."""
+    value = lambda i: F.get("s", F.lit(i))
+    pairs = [F.when(F.size("s") > j, F.xxhash64(value(i), value(j))) for i, j in combinations(range(SIGNATURE), 2)]
+    return found.select("h", F.explode(F.array(F.when(F.size("s") == 1, value(0)), *pairs)).alias("key")).where("key IS NOT NULL")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, where it is needed."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Lines (key, h) that share a key with others: ``others`` are the first and the one before, ``n`` is its lines."""
+    w = W.partitionBy("key").orderBy("h")
+    # Most keys hold one line: they go before others are looked for.
+    rows = rows.withColumns({"before": F.lag("h").over(w), "after": F.lead("h").over(w)}).where("before IS NOT NULL OR after IS NOT NULL")
+    others = F.array(F.first("h").over(w), "before")
+    return rows.select("key", "h", others.alias("others"), F.count("*").over(W.partitionBy("key")).alias("n"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Candidate pairs ``a < b`` of line hashes."""
+    rows = met.select("h", F.explode("others").alias("o")).where("o < h")
+    return rows.select(F.col("o").alias("a"), F.col("h").alias("b")).distinct()
 
 
 def _hashed(line: Column) -> Column:
     """The distinct shingles of a line, hashed."""
-    return F.array_distinct(F.transform(_shingles(line, SHINGLE_CHARS), lambda s: F.xxhash64(s)))
+    starts = lambda p: F.sequence(F.lit(0), (F.length(p) / 4).cast("int") - SHINGLE_CHARS)
+    return _let(_points(line), lambda p: F.array_distinct(F.transform(starts(p), lambda i: _shingle(p, i, SHINGLE_CHARS))))
 
 
 def _similar(x: Column, y: Column) -> Column:
@@ -117,10 +133,10 @@ def _similar(x: Column, y: Column) -> Column:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """Of each line (h, line) the count of its shingles and, in ``SKETCH`` longs, the parity of those that fall on each bit."""
+    """Of each line (h, line) a bound ``m`` on the count of its shingles and, in ``SKETCH`` longs, the bits that they fall on."""
     bit = "shiftleft(1L, cast(shiftright(x, 8) & 63 as int))"
-    parts = [F.expr(f"bit_xor(if((x & {SKETCH - 1}) = {i}, {bit}, 0L))").alias(f"p{i}") for i in range(SKETCH)]
-    return texts.select("h", F.explode(_hashed(F.col("line"))).alias("x")).groupBy("h").agg(F.count("*").alias("n"), *parts)
+    parts = [F.expr(f"bit_or(if((x & {SKETCH - 1}) = {i}, {bit}, 0L))").alias(f"p{i}") for i in range(SKETCH)]
+    return _shingled(texts, SHINGLE_CHARS).groupBy("h").agg(F.max("m").alias("m"), *parts)
 
 
 def _may_be_similar(x: str, y: str) -> Column:
@@ -128,9 +144,8 @@ def _may_be_similar(x: str, y: str) -> Column:
 
     Each bit that differs is a shingle of one line only, and links have a limited number of these.
     """
-    m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = sum((F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(SKETCH)), F.lit(0))
-    return (F.least(m, n) >= SIMILARITY * F.greatest(m, n)) & (apart * (1 + SIMILARITY) <= (1 - SIMILARITY) * (m + n) + 1e-6)
+    return apart * (1 + SIMILARITY) <= (1 - SIMILARITY) * (F.col(f"{x}.m") + F.col(f"{y}.m")) + 1e-6
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -164,68 +179,53 @@ def _further_links(crowded: DataFrame, linked: DataFrame, sketches: DataFrame, t
     return _verified(materialise(pairs, "pairs"), texts)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where("text <> ''")
-
-
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lines = _rows(docs, id_col, text_col).select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.where(F.length(F.trim("line")) >= LEAST_CHARS)
-    return lines.select("id", "row", "place", F.xxhash64("line").alias("h"), signatures(F.col("line")).alias("signatures"))
-
-
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``row`` (a hash of the text) and ``places`` of the lines that are to be removed."""
-    occurrences = materialise(_occurrences(docs, id_col, text_col), "lines")
-    met = materialise(_meeting(_bands(occurrences)), "bands")
+    rows = _rows(docs, id_col, text_col)
+    found = materialise(signatures(_lines(rows).select("h", "line")), "signatures")
+    met = materialise(_meeting(_bands(found)), "bands")
     pairs = materialise(_pairs(met), "pairs")
-    crowded = met.where(F.col("n") > NEIGHBOURS + 2).select("key", "h")  # in others, all pairs are made
-    place = F.struct("id", "row", "place")
-    # Only lines that stand twice, are in a pair or in a crowded band need further work.
-    paired = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b"))).union(crowded.select("h")).distinct()
-    twice = occurrences.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    of_interest = _bounded(materialise(paired.union(twice).distinct(), "interest"), 4 * BROADCAST_ROWS)
-    occurrences = materialise(occurrences.select("h", "id", "row", "place").join(of_interest, "h", "left_semi"), "occurrences")
-    lines = materialise(occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
-    wanted = paired.join(lines, "h")
-    wanted = materialise(wanted.select("h", F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.col("first.place").alias("place")), "wanted")
-    by_doc = _bounded(wanted.groupBy("id", "row").agg(F.collect_list(F.struct("h", "place")).alias("own")))
-    source = _rows(docs, id_col, text_col).alias("d").join(by_doc.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.row") == F.col("w.row")))
-    texts = source.select(F.split("text", "\n").alias("lines"), F.explode("own").alias("w")).select(
-        F.col("w.h").alias("h"), F.get("lines", F.col("w.place")).alias("line")
-    )
-    texts = materialise(texts.dropDuplicates(["h"]), "texts")
+    crowded = met.where("n > 3").select("key", "h")  # in others, all pairs are made
+    # Only lines that stand twice or meet another need further work.
+    meeting = met.select("h", F.lit(True).alias("meets")).distinct()
+    twice = found.where("n > 1").select("h", F.lit(False).alias("meets"))
+    wanted = meeting.unionByName(twice).groupBy("h").agg(F.max("meets").alias("meets"))
+    occurrences = _lines(rows).join(wanted, "h").withColumn("line", F.when(F.col("meets"), F.col("line")))
+    occurrences = materialise(occurrences.select("h", "id", "row", "place", "line"), "occurrences")
+    texts = materialise(occurrences.where("line IS NOT NULL").select("h", "line").dropDuplicates(["h"]), "texts")
     sketches = materialise(_sketches(texts), "sketches")
     links = materialise(_verified(materialise(_sketched(pairs, sketches), "alike"), texts), "links")
     linked = components(links)
     further = _further_links(crowded, linked, sketches, texts)
     if further is not None:
         linked = components(links.unionByName(further))
-    linked = materialise(linked.unionByName(linked.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "h"), "groups")
+    linked = linked.unionByName(linked.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "h")
+    place = F.struct("id", "row", "place")
+    lines = occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     grouped = lines.join(linked, "h", "left").where("root IS NOT NULL OR n > 1").withColumn("root", F.coalesce("root", "h"))
     grouped = materialise(grouped.select("h", "root", "first"), "keepers")
     keepers = grouped.groupBy("root").agg(F.min("first").alias("keeper"))
     known = grouped.select("h", "root").join(keepers, "root").select("h", "keeper")
-    gone = occurrences.select("h", "id", "row", "place").join(_bounded(known), "h").where(~F.struct("id", "row", "place").eqNullSafe(F.col("keeper")))
+    gone = occurrences.select("h", "id", "row", "place").join(known, "h").where(~place.eqNullSafe(F.col("keeper")))
     return gone.select("id", "row", "place").groupBy("id", "row").agg(F.collect_set("place").alias("places"))
 
 
 def _with_drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with its lines, those that stay and the places of the others."""
     drops = materialise(dropped_lines(docs, id_col, text_col), "drops")
-    drops = _bounded(drops).select(F.col("id").alias("_lodequery_id"), F.col("row").alias("_lodequery_row"), F.col("places").alias("_lodequery_places"))
-    joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("_lodequery_id")) & (F.xxhash64(text_col) == F.col("_lodequery_row")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    joined = joined.withColumn("_lodequery_lines", lines)
-    kept = F.when(F.col("_lodequery_places").isNull(), F.col("_lodequery_lines")).otherwise(F.filter("_lodequery_lines", lambda _, i: ~F.array_contains(F.col("_lodequery_places"), i)))
+    drops = drops.select(F.col("id").alias("_lodequery_id"), F.col("row").alias("_lodequery_row"), F.col("places").alias("_lodequery_places"))
+    own = named(id_col).eqNullSafe(F.col("_lodequery_id")) & (F.xxhash64(named(text_col)) == F.col("_lodequery_row"))
+    joined = docs.join(drops, own, "left").withColumn("_lodequery_lines", F.split(named(text_col), "\n"))
+    gone = F.col("_lodequery_places")
+    kept = F.when(gone.isNull(), F.col("_lodequery_lines")).otherwise(F.filter("_lodequery_lines", lambda _, i: ~F.array_contains(gone, i)))
     return joined.withColumn("_lodequery_kept", kept)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``n_lines``, ``n_dropped`` and the remaining ``text``."""
-    joined = _with_drops(docs.select(id_col, text_col), id_col, text_col)
+    joined = _with_drops(docs.select(named(id_col), named(text_col)), id_col, text_col)
     return joined.select(
-        F.col(id_col).alias("doc_id"),
+        named(id_col).alias("doc_id"),
         F.coalesce(F.size("_lodequery_lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_lodequery_places"), F.lit(0)).cast("long").alias("n_dropped"),
         F.array_join("_lodequery_kept", "\n").alias("text"),
@@ -237,8 +237,9 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = _with_drops(docs, id_col, text_col)
     joined = joined.where(F.col("_lodequery_places").isNull() | F.exists("_lodequery_kept", lambda x: F.trim(x) != "")).withColumn(text_col, F.array_join("_lodequery_kept", "\n"))
     if chars_col in docs.columns:
-        joined = joined.withColumn(chars_col, F.when(F.col("_lodequery_places").isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
-    return joined.select(*docs.columns)
+        counted = F.when(F.col("_lodequery_places").isNull(), named(chars_col)).otherwise(F.length(named(text_col)))
+        joined = joined.withColumn(chars_col, counted.cast(docs.schema[chars_col].dataType))
+    return joined.select(*columns(docs))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
