@@ -10,7 +10,8 @@ with a probability of 0.97 where changes lie scattered, of 0.99 where they lie
 together. In a band, lines are paired with the one before in hash order and with
 the first one, and a pair is a link where the Jaccard index of its five-character
 shingles is at least 0.8. In bands of more than three lines, all pairs that links
-have not connected then meet, block by block. Bit sketches of the shingle sets tell
+have not connected then meet: a few lines of a band with all others first, which
+connects groups of near copies, then the rest block by block. Bit sketches of the shingle sets tell
 pairs apart before their texts are read; they give a lower bound on the shingles that
 only one line has, which never parts a link. Of each connected component of equal or
 linked lines, the first line stays, by document id and place; the others are removed.
@@ -43,7 +44,8 @@ BINS = 16
 SHINGLE_CHARS = 5
 SIMILARITY = 0.8
 BLOCK_LINES = 512  # of a band, of which all pairs are made in one task
-SKETCH = 8  # longs, a power of two
+PIVOTS = (8,)  # lines of a crowded band that meet all others, in turn
+SKETCH = 16  # longs, a power of two
 _LARGEST = (1 << 63) - 1
 
 
@@ -133,10 +135,10 @@ def _similar(x: Column, y: Column) -> Column:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """Of each line (h, line) a bound ``m`` on the count of its shingles and, in ``SKETCH`` longs, the bits that they fall on."""
+    """Of each line (h, line) the count ``n`` of its shingles and, in ``SKETCH`` longs, the parity of those that fall on each bit."""
     bit = "shiftleft(1L, cast(shiftright(x, 8) & 63 as int))"
-    parts = [F.expr(f"bit_or(if((x & {SKETCH - 1}) = {i}, {bit}, 0L))").alias(f"p{i}") for i in range(SKETCH)]
-    return _shingled(texts, SHINGLE_CHARS).groupBy("h").agg(F.max("m").alias("m"), *parts)
+    parts = [F.expr(f"bit_xor(if((x & {SKETCH - 1}) = {i}, {bit}, 0L))").alias(f"p{i}") for i in range(SKETCH)]
+    return texts.select("h", F.explode(_hashed(F.col("line"))).alias("x")).groupBy("h").agg(F.count("*").alias("n"), *parts)
 
 
 def _may_be_similar(x: str, y: str) -> Column:
@@ -144,8 +146,9 @@ def _may_be_similar(x: str, y: str) -> Column:
 
     Each bit that differs is a shingle of one line only, and links have a limited number of these.
     """
+    m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = sum((F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(SKETCH)), F.lit(0))
-    return apart * (1 + SIMILARITY) <= (1 - SIMILARITY) * (F.col(f"{x}.m") + F.col(f"{y}.m")) + 1e-6
+    return (F.least(m, n) >= SIMILARITY * F.greatest(m, n)) & (apart * (1 + SIMILARITY) <= (1 - SIMILARITY) * (m + n) + 1e-6)
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -160,23 +163,60 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(_similar(F.col("x"), F.col("y"))).select("a", "b")
 
 
-def _further_links(crowded: DataFrame, linked: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links of lines in crowded bands (key, h) that are not all of one component: all pairs of different ones, in blocks of lines."""
-    roots = linked.withColumnRenamed("id", "h")
-    labelled = materialise(crowded.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "crowded")
+def _open(crowded: DataFrame, linked: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The lines (key, h) of bands whose lines are not all of one component, with ``root``, their sketches and ``blocks`` of the band."""
+    labelled = materialise(crowded.join(linked, "h", "left").withColumn("root", F.coalesce("root", "h")), "crowded")
     blocks = F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("blocks")
     opened = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks).where("low <> high")
-    lines = materialise(labelled.join(opened.select("key", "blocks"), "key").join(sketches, "h"), "open")
-    if lines.isEmpty():
-        return None
+    return materialise(labelled.join(opened.select("key", "blocks"), "key").join(sketches, "h"), "open")
+
+
+def _with_pivots(lines: DataFrame, n: int) -> DataFrame:
+    """Pairs of each line of an open band with ``n`` of its lines that are of another component."""
+    order = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("h", F.lit(n))))
+    pivots = lines.withColumn("order", order).where(F.col("order") <= n)
+    x, y = lines.alias("x"), pivots.alias("y")
+    return x.join(y, [F.col("x.key") == F.col("y.key"), F.col("x.root") != F.col("y.root"), _may_be_similar("x", "y")])
+
+
+def _all_pairs(lines: DataFrame) -> DataFrame:
+    """Pairs of the lines of each open band that are of different components, in blocks of lines."""
     lines = lines.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     x = lines.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("x")
     y = lines.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).alias("y")
     met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "i", "j")]
     once = (F.col("x.i") < F.col("x.j")) | (F.col("x.h") < F.col("y.h"))
-    pairs = x.join(y, [*met, once, F.col("x.root") != F.col("y.root"), _may_be_similar("x", "y")])
-    pairs = pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
-    return _verified(materialise(pairs, "pairs"), texts)
+    return x.join(y, [*met, once, F.col("x.root") != F.col("y.root"), _may_be_similar("x", "y")])
+
+
+def _closed(linked: DataFrame, crowded: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """``linked`` (h, root) after all pairs of crowded bands (key, h) are verified or known to be connected.
+
+    A few lines of each open band meet all others first, which connects groups of near copies; only lines that these
+    leave apart meet in pairs.
+    """
+    for pivots in (*PIVOTS, None):
+        lines = _open(crowded, linked, sketches)
+        if lines.isEmpty():
+            break
+        pairs = (_with_pivots(lines, pivots) if pivots else _all_pairs(lines)).select(
+            F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"),
+        )
+        links = _verified(materialise(pairs.distinct(), "pairs"), texts)
+        ends = [links.select(F.col(c).alias("h"), F.xxhash64("a", "b").alias("link")) for c in "ab"]
+        met = ends[0].unionByName(ends[1]).join(linked, "h", "left").select("link", F.coalesce("root", "h").alias("root"))
+        edges = met.groupBy("link").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+        above = _with_roots(components(edges))
+        joined = above.select(F.col("h").alias("root"), F.col("root").alias("above"))
+        new = above.join(linked, "h", "left_anti")
+        linked = linked.join(joined, "root", "left").select("h", F.coalesce("above", "root").alias("root"))
+        linked = materialise(linked.unionByName(new), "linked")
+    return linked
+
+
+def _with_roots(found: DataFrame) -> DataFrame:
+    """``h`` and ``root`` of all nodes of components, the roots among them."""
+    return found.unionByName(found.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "h")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,11 +235,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = materialise(occurrences.where("line IS NOT NULL").select("h", "line").dropDuplicates(["h"]), "texts")
     sketches = materialise(_sketches(texts), "sketches")
     links = materialise(_verified(materialise(_sketched(pairs, sketches), "alike"), texts), "links")
-    linked = components(links)
-    further = _further_links(crowded, linked, sketches, texts)
-    if further is not None:
-        linked = components(links.unionByName(further))
-    linked = linked.unionByName(linked.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "h")
+    linked = _closed(materialise(_with_roots(components(links)), "linked"), crowded, sketches, texts)
     place = F.struct("id", "row", "place")
     lines = occurrences.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     grouped = lines.join(linked, "h", "left").where("root IS NOT NULL OR n > 1").withColumn("root", F.coalesce("root", "h"))
