@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import columns, table
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
@@ -175,7 +175,7 @@ def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` whose text has letters and a language with at least ``least_share`` of it, with their columns."""
     model = fit(docs.where(F.coalesce(learnable(id_col), F.lit(False))), id_col, text_col, lang_col)
     found = docs.withColumn("_lodequery_found", language_column(docs.sparkSession, text_col, model))
-    return found.where((F.col("_lodequery_found.lang_pred") != "und") & (F.col("_lodequery_found.score") >= least_share)).select(*docs.columns)
+    return found.where((F.col("_lodequery_found.lang_pred") != "und") & (F.col("_lodequery_found.score") >= least_share)).select(*columns(docs))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import columns, materialise, named, table
 from .graph import components
 
 SHINGLE = 4
 PERCENT = 85
+LIGHT_KEYS = 9  # prefix elements of a light set, at most: 36 subsets
 EXTRA_PERCENT = 7  # prefix elements beyond the necessary, of a set's size
 BLOCK_VALUES = 4_000_000  # set elements that one verification task may hold of a block
 BROADCAST_ROWS = 1_000_000  # of two numbers each; with more, Spark picks the join
@@ -116,7 +117,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
                     {"doc_id": pdf["_id"].to_numpy(), "sid": [_set_id(s) for s in sets], "n": n, "prefix": [s[:p] for s, p in zip(sets, prefix, strict=True)]}
                 )
 
-    rows = docs.select(docs[id_col].cast("string").alias("_id"), docs[text_col].alias("_text"))
+    rows = docs.select(named(id_col).cast("string").alias("_id"), named(text_col).alias("_text"))
     return rows.mapInPandas(run, "doc_id string, sid long, n long, prefix array<long>").withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
@@ -130,29 +131,38 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size:
                     if _set_id(values) == sid:
                         yield pd.DataFrame({"sid": [sid], "n": [len(values)], "elements": [values]})
 
-    rows = docs.select(docs[id_col].alias("rep"), docs[text_col].alias("_text")).join(wanted, "rep").select("sid", "_text")
+    rows = docs.select(named(id_col).alias("rep"), named(text_col).alias("_text")).join(wanted, "rep").select("sid", "_text")
     return rows.mapInPandas(run, "sid long, n long, elements array<long>")
 
 
-def _boundary(sized: DataFrame) -> int:
+def _largest_light(percent: int) -> int:
+    """The size below which a set's prefix has ``LIGHT_KEYS`` elements at most, so that its subsets are a few times these."""
+    n = 1
+    while n - _need(n, percent) + 2 <= LIGHT_KEYS:
+        n += 1
+    return n
+
+
+def _boundary(sized: DataFrame, percent: int) -> int:
     """The size from which sets are heavy: where subsets of two and scanned lists cost least together.
 
-    Costs are summed over classes of sizes a twelfth of an octave wide, so a few hundred rows reach the driver.
+    A light set costs a row a subset, a heavy one a row a list and a visit of each other set in it. Costs are summed
+    over sizes below the largest that may be light, so a few dozen rows reach the driver.
     """
-    band = F.floor(12 * F.log2("n"))
+    limit = _largest_light(percent)
     rows = (
-        sized.groupBy(band.alias("band"))
-        .agg(F.sum(F.col("keys2") * (F.col("keys2") - 1) / 2).alias("subsets"), F.sum("scanned").alias("scanned"), F.max("n").alias("n"))
-        .orderBy("band")
+        sized.where(F.col("n") < limit)
+        .groupBy("n")
+        .agg(F.sum(F.col("keys2") * (F.col("keys2") - 1) / 2).alias("subsets"), F.sum("scanned").alias("scanned"))
         .collect()
     )
-    best, at = float("inf"), 0
-    for i in range(len(rows) + 1):
-        light = sum(r["subsets"] for r in rows[:i])
-        heavy = sum(r["scanned"] for r in rows[max(0, i - 3) :])  # sets just below the boundary are scanned too
-        if light + heavy < best:
-            best, at = light + heavy, (rows[i - 1]["n"] + 1 if i else 0)
-    return at
+    subsets, scanned = ({r["n"]: r[k] for r in rows} for k in ("subsets", "scanned"))
+
+    def cost(edge: int) -> float:
+        # Sets just below the boundary are scanned too.
+        return sum(v for n, v in subsets.items() if n < edge) + sum(v for n, v in scanned.items() if n >= _need(edge, percent))
+
+    return min(range(limit + 1), key=cost)
 
 
 def _link(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -197,23 +207,31 @@ def _linked(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("gathered", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def class_links(sets: DataFrame, percent: int) -> DataFrame:
-    """``id`` and ``root`` of the sets that are linked with another."""
+def _of_many(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (sid, key) of keys that several sets have, with ``first``, the key's smallest set, and ``df``, its sets.
+
+    Keys are counted by partial sums and joined back, so that a very common one is split like any skewed join.
+    """
+    counted = rows.groupBy(key).agg(F.min("sid").alias("first"), F.count("*").alias("df")).where("df > 1")
+    return rows.join(counted, key)
+
+
+def class_links(sets: DataFrame, percent: int, boundary: int | None = None) -> DataFrame:
+    """``id`` and ``root`` of the sets that are linked with another; ``boundary`` replaces the chosen one."""
     sets = materialise(sets, "sets")
-    pairs = sets.select("sid", "n", F.explode("elements").alias("element"))
-    counted = pairs.withColumn("df", F.count("*").over(W.partitionBy("element"))).where("df > 1")
+    counted = _of_many(sets.select("sid", "n", F.explode("elements").alias("element")), "element")
     by_set = counted.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("shared"))
     need = F.floor((percent * F.col("n") + 99) / 100)
     keys2 = (F.size("shared") - need + 2).cast("int")
     ranked = by_set.where(F.size("shared") >= need).select("sid", "n", F.slice("shared", F.lit(1), keys2).alias("keys"), keys2.alias("keys2"))
-    scanned = F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    scanned = F.aggregate(F.slice("keys", F.lit(1), F.greatest(F.col("keys2") - 1, F.lit(1))), F.lit(0).cast("long"), lambda a, x: a + x["df"])
     ranked = materialise(ranked.select("sid", "n", "keys2", scanned.alias("scanned"), F.col("keys.element").alias("keys")), "prefixes")
-    edge = _boundary(ranked)
+    edge = _boundary(ranked, percent) if boundary is None else boundary
     light = ranked.where(F.col("n") < edge).select("sid", F.explode(_subsets("keys")).alias("key"))
     heavy = ranked.where(F.col("n") >= _need(edge, percent)).select(
         "sid", F.explode(F.expr("slice(keys, 1, greatest(keys2 - 1, 1))")).alias("element")
     ).select("sid", F.xxhash64("element").alias("key"))
-    met = light.unionByName(heavy).withColumn("first", F.min("sid").over(W.partitionBy("key"))).where("sid <> first")
+    met = _of_many(light.unionByName(heavy), "key").where("sid <> first")
     gathered = components(met.select(F.col("sid").alias("a"), F.col("first").alias("b")))
     gathered = gathered.unionByName(gathered.select(F.col("root").alias("id"), "root").distinct())
     members = sets.join(gathered.withColumnRenamed("id", "sid").withColumnRenamed("root", "gathered"), "sid")
@@ -260,9 +278,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # 1. A prefix element counts where two classes have it. Copies count alike, so the count of a class is its copies times its elements.
     # A set links with another only if it is large enough to differ by one element.
     pairs = keys.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("sid", F.explode("prefix").alias("element"))
-    w = W.partitionBy("element")
-    shared = pairs.withColumn("low", F.min("sid").over(w)).withColumn("high", F.max("sid").over(w)).where("low < high")
-    shared = shared.groupBy("sid").agg(F.count("*").alias("shared"))
+    common = pairs.groupBy("element").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("element")
+    shared = pairs.join(common, "element").groupBy("sid").agg(F.count("*").alias("shared"))
     least = F.greatest(F.lit(1), F.floor(percent * F.floor(F.col("n") * EXTRA_PERCENT / 100) / 100))
     wanted = materialise(shared.join(classes, "sid").where(F.col("shared") >= F.col("copies") * least).select("rep", "sid"), "candidates")
     if wanted.count() <= BROADCAST_ROWS:
@@ -282,17 +299,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id come last in a component; those without a word too link with nothing and stay.
     """
     key = "_lodequery_key"
-    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    keyed = docs.withColumn(key, F.xxhash64(named(id_col), named(text_col)))
     labels = ngram_join(keyed, key, text_col, **kinds).select(F.col("doc_id").alias(key), "n_shingles", "component_id").distinct()
-    rows = keyed.groupBy(key).agg(F.min(id_col).alias("id"), F.count("*").alias("count"))
+    rows = keyed.groupBy(key).agg(F.min(named(id_col)).alias("id"), F.count("*").alias("count"))
     labels = materialise(rows.join(labels, key), "labels")
     first = labels.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", key)).alias("first"), F.count("*").alias("members"))
     gone = labels.join(first.where("members > 1"), "component_id").where(F.col(key) != F.col(f"first.{key}")).select(key)
     again = labels.where("count > 1 and (n_shingles > 0 or id is not null)").select(key)
     gone, again = (F.broadcast(x) if x.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else x for x in (gone, again))
     left = keyed.join(gone, key, "left_anti")
-    twice = left.join(again, key, "left_semi").withColumn("_lodequery_first", F.row_number().over(W.partitionBy(key).orderBy(text_col)))
-    return left.join(again, key, "left_anti").select(*docs.columns).unionByName(twice.where("_lodequery_first = 1").select(*docs.columns))
+    twice = left.join(again, key, "left_semi").withColumn("_lodequery_first", F.row_number().over(W.partitionBy(key).orderBy(named(text_col))))
+    return left.join(again, key, "left_anti").select(*columns(docs)).unionByName(twice.where("_lodequery_first = 1").select(*columns(docs)))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import columns, materialise, named, table
 
 # The base rules.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -140,7 +140,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def quality_filter(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` that are kept, with their columns."""
     counted = materialise(df.withColumn("_lodequery_counts", counts_column(text_col)), "quality")
-    return _judged(counted, lang_col, source_col).where("_lodequery_kept").select(*df.columns)
+    return _judged(counted, lang_col, source_col).where("_lodequery_kept").select(*columns(df))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -385,10 +385,13 @@ def near_copies(seed=4, groups=12, most=14):
     return texts
 
 
-@pytest.mark.parametrize("blocks", [False, True])
-def test_join_against_all_pairs(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("blocks, boundary", [(False, None), (True, 0), (False, 31), (False, 1 << 30)])
+def test_join_against_all_pairs(spark, monkeypatch, blocks, boundary):
+    """All sets heavy, some, or all light: the results are the same."""
     if blocks:
         monkeypatch.setattr(ngram_join, "BLOCK_VALUES", 150)
+    if boundary is not None:
+        monkeypatch.setattr(ngram_join, "_boundary", lambda *_: boundary)
     texts = near_copies()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df).collect()}
@@ -405,6 +408,17 @@ def test_join_at_other_thresholds(spark, percent):
         ngram_join.ngram_join(df, percent=50)
 
 
+def test_join_boundary_by_cost(spark):
+    """Sets whose lists are long are light, those whose lists are short heavy, and none beyond the bound on subsets."""
+    sized = lambda rows: spark.createDataFrame(rows, "n long, keys2 int, scanned long")
+    assert ngram_join._boundary(sized([(20, 5, 4), (40, 8, 7)]), 85) == 0
+    assert 20 < ngram_join._boundary(sized([(20, 5, 400), (40, 8, 7)]), 85) <= 40
+    limit = ngram_join._largest_light(85)
+    assert ngram_join._boundary(sized([(20, 5, 400), (limit, 10, 1 << 40)]), 85) <= limit
+    assert limit - ngram_join._need(limit, 85) + 2 > ngram_join.LIGHT_KEYS
+    assert ngram_join._boundary(sized([]), 85) == 0
+
+
 def test_one_of_each(spark, edge):
     kept = [r["doc_id"] for r in ngram_join.one_of_each(edge).collect()]
     assert kept.count(7) == 1 and 50 not in kept and 51 not in kept and None in kept and 0 in kept and 1 in kept
