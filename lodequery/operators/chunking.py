@@ -2,7 +2,8 @@
 
 Each gives one row a chunk: the document's other columns, ``index`` and ``total``
 within the document, ``content``, ``heading``, ``level``, ``type`` and
-``language``. Cutting is array work within a row; only cutting by size, where each
+``language``; a document's column of one of these names gives way. Repeated documents
+are cut each for itself. Cutting is array work within a row; only cutting by size, where each
 cut depends on the one before, is a vectorised Python function.
 """
 
@@ -25,11 +26,14 @@ class ChunkConfig:
     id_prefix: str = "chunk"
 
 
+OWN_COLUMNS = frozenset("chunk_id index total content heading level type language start end".split())
+
+
 def _rows(df: DataFrame, chunks: Column, text: str, prefix: str) -> DataFrame:
     """``df`` without its text, exploded to one row for each struct of ``chunks``."""
-    keep = [F.col(f"`{c}`") for c in df.columns if c != text]
+    keep = [F.col(f"`{c}`") for c in df.columns if c != text and c not in OWN_COLUMNS]
     rows = df.select(*keep, chunks.alias("_c")).withColumn("total", F.size("_c"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in df.columns if c != text], "total", F.posexplode("_c").alias("index", "_x"))
+    rows = rows.select(*keep, "total", F.posexplode("_c").alias("index", "_x"))
     return rows.withColumn("chunk_id", F.concat(F.lit(f"{prefix}-"), F.col("index"))).select("*", "_x.*").drop("_x")
 
 
@@ -154,26 +158,27 @@ def by_size(df: DataFrame, target: int = 2000, overlap: int = 50, text: str = "t
     return _rows(df, _sized(F.col(text), target, overlap), text, prefix)
 
 
+def _cut_sections(contents: Column, max_size: int, overlap: int) -> Column:
+    """The pieces of each section: those of more than ``max_size`` bytes are cut by size."""
+    if max_size < 1 or overlap < 0:
+        raise InvalidConfig("a chunk has at least one byte and no negative overlap")
+
+    @F.pandas_udf("array<array<string>>")
+    def cut(sections: pd.Series) -> pd.Series:
+        pieces = lambda t: [t] if len(t.encode()) <= max_size else [c for c, _, _ in cut_by_size(t, max_size, overlap)]
+        return pd.Series([[pieces(t) for t in own] if own is not None else [] for own in sections], index=sections.index, dtype=object)
+
+    return cut(contents)
+
+
 def hybrid(df: DataFrame, max_level: int = 2, max_size: int = 2000, overlap: int = 50, text: str = "text", prefix: str = "chunk") -> DataFrame:
     """Sections, of which those of more than ``max_size`` bytes are cut by size and keep their heading."""
-    rows = by_heading(df, max_level, text, prefix).withColumnRenamed("index", "_section").drop("total", "chunk_id")
-    cut = F.when(F.octet_length("content") > max_size, _sized(F.col("content"), max_size, overlap)).otherwise(
-        F.array(F.struct(F.col("content"), F.lit(0).alias("start"), F.octet_length("content").alias("end")))
-    )
-    parts = rows.withColumn("_parts", cut)
-    sections = parts.groupBy([c for c in df.columns if c != text]).agg(
-        F.array_sort(F.collect_list(F.struct("_section", "heading", "level", "type", "language", "_parts"))).alias("_s")
-    )
-    chunks = F.flatten(
-        F.transform(
-            "_s",
-            lambda s: F.transform(
-                s["_parts"],
-                lambda p: F.struct(p["content"].alias("content"), s["heading"].alias("heading"), s["level"].alias("level"), s["type"].alias("type"), s["language"].alias("language")),
-            ),
-        )
-    )
-    return _rows(sections.withColumn(text, F.lit("")).withColumn("_chunks", chunks).drop("_s"), F.col("_chunks"), text, prefix).drop("_chunks")
+    if not 1 <= max_level <= 6:
+        raise InvalidConfig("a heading level is from 1 to 6")
+    cut = df.withColumn("_sections", _sections(F.col(f"`{text}`"), max_level))
+    cut = cut.withColumn("_pieces", _cut_sections(F.col("_sections.content"), max_size, overlap))
+    chunks = F.zip_with("_sections", "_pieces", lambda s, own: F.transform(own, lambda c: s.withField("content", c)))
+    return _rows(cut, F.flatten(chunks), text, prefix).drop("_sections", "_pieces")
 
 
 def stats(chunks: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodequery.operators import bundles, chunking
 from lodequery.session import table
+from lodequery.errors import InvalidConfig
 from lodequery.streaming import cdc
 
 QUERIES: dict = {}
@@ -137,10 +138,11 @@ def wal_clear_fold(spark, sf_dir):
     return cdc.fold(log.unionByName(clear)).select("id", "seq", "op", "value")
 
 
-@register("wal_torn_tail", f"WITH {LOG} SELECT count(*) AS n, max(seq) AS last FROM log WHERE seq < 700")
+@register("wal_torn_tail", f"WITH {LOG} SELECT count(*) AS n, max(seq) AS last FROM log WHERE seq < (SELECT max(seq) FROM log)")
 def wal_torn_tail(spark, sf_dir):
-    log = change_log(spark, sf_dir).withColumn("ok", F.col("seq") != 700)
-    return cdc.valid_prefix(log).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+    log = change_log(spark, sf_dir)
+    torn = log.join(F.broadcast(log.agg(F.max("seq").alias("torn")))).withColumn("ok", F.col("seq") != F.col("torn")).drop("torn")
+    return cdc.valid_prefix(torn).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
 APPLY = f"""{LOG}, b AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 3 = 0), u AS (SELECT *, op = 'delete' OR seq % 5 <> 0 AS usable FROM log),
@@ -197,10 +199,14 @@ def cdc_json_roundtrip(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared place that the cluster names, or a local one where none is named."""
+    """A new folder in the shared place that the cluster names; where all tasks run on this machine, a local one will do."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodequery-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise InvalidConfig("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lodequery-stream-")
     return f"{root}/lodequery-stream-{uuid.uuid4().hex}"
 
 

@@ -24,9 +24,9 @@ def register(name: str, sql: str | None):
     return add
 
 
-def _store(spark, sf_dir, quantization: str = "none") -> Store:
+def _store(spark, sf_dir, quantization: str = "none", rows: str = "true") -> Store:
     store = Store.create(spark, f"{_folder(spark)}/store", Config(64, "cosine", quantization), "label int")
-    store.insert(embeddings(spark, sf_dir).where("id < 100").withColumn("id", F.col("id").cast("string")))
+    store.insert(_rows(spark, sf_dir).where(rows))
     return store
 
 
@@ -34,17 +34,17 @@ def _rows(spark, sf_dir):
     return embeddings(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
 
 
-@register("store_crud", """SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id < 10 THEN -1 ELSE label END AS label FROM embeddings WHERE vec_id < 110 AND vec_id % 4 <> 0 OR vec_id < 10""")
+@register("store_crud", "SELECT vec_id::VARCHAR AS id, CASE WHEN label = 3 THEN -1 ELSE label END AS label FROM embeddings WHERE label <> 2")
 def store_crud(spark, sf_dir):
-    s = _store(spark, sf_dir)
+    s = _store(spark, sf_dir, rows="label <> 1")
     rows = _rows(spark, sf_dir)
-    s.insert(rows.where("cast(id AS int) BETWEEN 100 AND 109"))
-    s.delete(rows.where("cast(id AS int) % 4 = 0").select("id"))
-    s.upsert(rows.where("cast(id AS int) < 10").withColumn("label", F.lit(-1)))
+    s.insert(rows.where("label = 1"))
+    s.delete(rows.where("label = 2").select("id"))
+    s.upsert(rows.where("label = 3").withColumn("label", F.lit(-1)))
     return Store.open(spark, s.path).df().select("id", "label")
 
 
-@register("store_json_roundtrip", "SELECT vec_id::VARCHAR AS id, label, 64 AS dimensions FROM embeddings WHERE vec_id < 100")
+@register("store_json_roundtrip", "SELECT vec_id::VARCHAR AS id, label, 64 AS dimensions FROM embeddings")
 def store_json_roundtrip(spark, sf_dir):
     s = _store(spark, sf_dir)
     s.export_json(f"{s.path}-export")

@@ -41,9 +41,14 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def valid_prefix(log: DataFrame, ok: str = "ok") -> DataFrame:
-    """A log up to its first record that failed its check: what is read of a torn tail."""
-    broken = log.where(~F.col(ok)).agg(F.min("seq").alias("_broken"))
-    return log.join(F.broadcast(broken)).where(F.col("_broken").isNull() | (F.col("seq") < F.col("_broken"))).drop("_broken")
+    """A log without its last record where that failed its check, as a torn tail does.
+
+    A damaged record before the last is no torn tail: reading the result is an error, as the records behind it would be lost.
+    """
+    ends = log.agg(F.min(F.when(~F.col(ok), F.col("seq"))).alias("_broken"), F.max("seq").alias("_last"))
+    damaged = F.raise_error(F.lit("a record before the last of the log is damaged")).cast("boolean")
+    whole = F.when(F.col("_broken") < F.col("_last"), damaged).otherwise(F.col("_broken").isNull() | (F.col("seq") < F.col("_broken")))
+    return log.join(F.broadcast(ends)).where(whole).drop("_broken", "_last")
 
 
 def export_since(log: DataFrame, since: int) -> DataFrame:

@@ -238,3 +238,21 @@ def test_memory_rules(spark):
     with pytest.raises(errors.InvalidConfig):
         memory.Recall(0, 0, 0)
     assert agent.parse_language("RS") == "rust" and memory.knowledge_domain("iot") == "embedded"
+
+
+def test_log_damaged_before_its_last_record_is_an_error(spark):
+    log = lambda bad: spark.createDataFrame([(i, i != bad) for i in range(6)], "seq long, ok boolean")
+    assert cdc.valid_prefix(log(5)).count() == 5 and cdc.valid_prefix(log(9)).count() == 6
+    with pytest.raises(Exception, match="before the last"):
+        cdc.valid_prefix(log(3)).collect()
+    assert cdc.valid_prefix(log(3).limit(0)).count() == 0
+
+
+def test_chunks_of_repeated_documents_and_clashing_columns(spark):
+    text = "# A\n" + "one two. " * 4 + "\n# B\nshort"
+    df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, None, "y")], "id long, text string, content string")
+    rows = chunking.hybrid(df, 1, 30, 0).collect()
+    assert len(rows) == 2 * rows[0]["total"] and {r["id"] for r in rows} == {1}
+    assert sorted(r["index"] for r in rows) == sorted([*range(rows[0]["total"])] * 2)
+    assert {r["heading"] for r in rows} == {"A", "B"} and "x" not in {r["content"] for r in rows}
+    assert {r["heading"] for r in chunking.by_heading(df).collect()} == {"A", "B"}
