@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +60,7 @@ PLAIN_NAMES = frozenset("area bar block box bottom button buttons container form
 ITEM_NAMES = frozenset("comment comments disqus respond reply replies discussion related recommended recommendations widget ad ads advert adverts promo".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -105,9 +107,14 @@ def blocks_of(page: str) -> list[_Block]:
             if links:
                 block.linked += len("".join(text.split()))
 
-    while m := _TAG.search(page, pos):
+    end_of_tags = page.rfind(">") + 1  # behind it nothing can be a tag, however many begin
+    opened: Counter[str] = Counter()
+    while m := _TAG.search(page, pos, end_of_tags):
         add(page[pos : m.start()])
         pos = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            pos = len(page)
+            break
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -130,9 +137,10 @@ def blocks_of(page: str) -> list[_Block]:
                 block = cut(tag)
             continue
         if closing:
-            if tag != "p" and any(x[0] == tag for x in stack):
+            if tag != "p" and opened[tag]:
                 while stack:
                     name, was_bad, was_good, named, items = stack.pop()
+                    opened[name] -= 1
                     bad, good = bad - was_bad, good - was_good
                     if name == tag:
                         break
@@ -145,11 +153,13 @@ def blocks_of(page: str) -> list[_Block]:
             if tag == "body":
                 bad = named = items = good = 0
                 stack.clear()
+                opened.clear()
             if tag == "p":  # a paragraph is over where the next block begins
                 block = cut(tag)
                 block.named = block.named or bool(names) and not block.bad
                 block.bad |= bool(names)
                 continue
+            opened[tag] += 1
             stack.append((tag, int(is_bad), int(tag in GOOD_TAGS), named, items))
             if tag in GOOD_TAGS and not good and (tag == "main" or not items):  # its place says more than a wrapper's name
                 named = items = 0
@@ -157,7 +167,8 @@ def blocks_of(page: str) -> list[_Block]:
             named, items = named + bool(names), items + bool(names & ITEM_NAMES)
         if tag in BLOCK_TAGS:
             block = cut(tag)
-    add(page[pos:])
+    unclosed = _OPEN.search(page, max(pos, end_of_tags))  # a tag that never ends is no text
+    add(page[pos : unclosed.start() if unclosed else len(page)])
     cut("")
     return out
 

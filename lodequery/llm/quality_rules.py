@@ -3,10 +3,12 @@
 Every document gets counts over its whole text. For each language and source a
 quantile sketch of each rate is kept; sketches of sources merge into one for
 their language, which stands in where a source has few documents, and those of
-languages into one for all. A rate's upper fence is its median plus ``SPREAD``
-times the distance from the 10th percentile to the median, at least the rate's
-``FLOORS`` entry; no cutoff is fixed beforehand. A document is kept where it
-passes the base rules and none of its rates is over its fence.
+languages into one for all. A rate has two fences, its median plus and minus
+``SPREAD`` times the distance from there to the ``OUTER`` quantile of either side, so
+the same rate may pass in one source and fail in another; no cutoff is fixed
+beforehand. ``ALLOWED`` counts a document beyond a fence are forgiven, which matters
+in short texts only. A document is kept where it passes the base rules and all its
+rates lie within their fences. The sketch of a small group holds a number a document.
 
 Null and empty texts have counts of 0 and fail the base rules; null languages
 and sources are groups of their own; repeated rows and ties have equal results;
@@ -31,8 +33,10 @@ WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 
-SPREAD = 4.0
-FLOORS = {"symbol_rate": 0.05, "dup_line_rate": 0.1, "repeat_rate": 0.06, "upper_rate": 0.1, "word_length": 0.5}
+SPREAD = 6.0
+OUTER = 0.2
+# Counts beyond a fence that are forgiven, and the count that the rate is a share of.
+ALLOWED = {"symbol_rate": (4, "n_words"), "dup_line_rate": (3, "n_lines"), "repeat_rate": (32, "n_words"), "upper_rate": (8, "word_chars"), "word_length": (8, "n_words")}
 LEAST_GROUP = 30
 SKETCH_K = 2048
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -45,7 +49,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _repeated(words: Column, n: Column) -> Column:
     """Words that stand in a window found twice or more."""
-    hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    own = F.transform(words, lambda x: F.xxhash64(x))
+    hashes = _let(own, lambda w: F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
 
     def covered(sorted_: Column) -> Column:
         same = lambda a, b: F.coalesce(F.get(sorted_, a)["h"] == F.get(sorted_, b)["h"], F.lit(False))
@@ -96,25 +101,25 @@ def _rates(c: Callable[[str], Column]) -> dict[str, Column]:
 
 
 def fences(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", counts: str = "_lodequery_counts") -> DataFrame:
-    """A row for each language and source with a fence for each rate.
+    """A row for each language and source with two fences for each rate.
 
     Sketches are built per task and merged by the shuffle, so a source with most of the rows is no larger there than others.
     """
     rates = _rates(lambda x: F.col(f"{counts}.{x}"))
     rows = counted.where(F.col(f"{counts}.n_words") >= LEAST_WORDS).select(
-        F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *[r.alias(k) for k, r in rates.items()]
+        named(lang_col).alias("lang"), named(source_col).alias("source"), *[r.alias(k) for k, r in rates.items()]
     )
     by_source = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in rates])
     by_lang = by_source.groupBy("lang").agg(F.sum("n").alias("lang_n"), *[F.kll_merge_agg_double(k).alias(f"lang_{k}") for k in rates])
     overall = by_lang.agg(*[F.kll_merge_agg_double(f"lang_{k}").alias(f"all_{k}") for k in rates])
     merged = by_source.join(by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(overall))
 
-    def fence(k: str) -> Column:
+    def two(k: str) -> list[Column]:
         sketch = F.when(F.col("n") >= LEAST_GROUP, F.col(k)).when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{k}")).otherwise(F.col(f"all_{k}"))
-        quantile = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
-        return (quantile(0.5) + SPREAD * F.greatest(quantile(0.5) - quantile(0.1), F.lit(FLOORS[k]))).alias(f"_lodequery_max_{k}")
+        low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (OUTER, 0.5, 1 - OUTER))
+        return [(mid - SPREAD * (mid - low)).alias(f"_lodequery_min_{k}"), (mid + SPREAD * (high - mid)).alias(f"_lodequery_max_{k}")]
 
-    return merged.select(F.col("lang").alias("_lodequery_lang"), F.col("source").alias("_lodequery_source"), *[fence(k) for k in rates])
+    return merged.select(F.col("lang").alias("_lodequery_lang"), F.col("source").alias("_lodequery_source"), *[c for k in rates for c in two(k)])
 
 
 def _judged(counted: DataFrame, lang_col: str, source_col: str) -> DataFrame:
@@ -122,11 +127,14 @@ def _judged(counted: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     limits = fences(counted, lang_col, source_col)
     c = lambda x: F.col(f"_lodequery_counts.{x}")
     failed = (c("n_words") < LEAST_WORDS) | (100 * c("n_repeat_words") > REPEAT_PERCENT * c("n_words"))
-    joined = counted.join(limits, F.col(lang_col).eqNullSafe(F.col("_lodequery_lang")) & F.col(source_col).eqNullSafe(F.col("_lodequery_source")), "left")
-    over = F.lit(False)
+    own = named(lang_col).eqNullSafe(F.col("_lodequery_lang")) & named(source_col).eqNullSafe(F.col("_lodequery_source"))
+    joined = counted.join(limits, own, "left")
+    beyond = F.lit(False)
     for k, r in _rates(c).items():
-        over = over | F.coalesce(r > F.col(f"_lodequery_max_{k}"), F.lit(False))
-    return joined.withColumn("_lodequery_failed", failed).withColumn("_lodequery_kept", ~failed & ~over)
+        allowed = ALLOWED[k][0] / F.greatest(c(ALLOWED[k][1]), F.lit(1))
+        outside = (r > F.col(f"_lodequery_max_{k}") + allowed) | (r < F.col(f"_lodequery_min_{k}") - allowed)
+        beyond = beyond | F.coalesce(outside, F.lit(False))
+    return joined.withColumn("_lodequery_failed", failed).withColumn("_lodequery_kept", ~failed & ~beyond)
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -168,12 +176,15 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 
 def oracle() -> str:
     def limits(name: str, by: str) -> str:
-        fences_ = ", ".join(f"quantile_disc({k}, 0.5) + {SPREAD} * greatest(quantile_disc({k}, 0.5) - quantile_disc({k}, 0.1), {v}) AS max_{k}" for k, v in FLOORS.items())
-        return f"{name} AS (SELECT {by}count(*) AS n, {fences_} FROM f WHERE n_words >= 20 {'GROUP BY ALL' if by else ''})"
-
-    over = " OR ".join(
-        f"f.{k} > CASE WHEN s.n >= {LEAST_GROUP} THEN s.max_{k} WHEN l.n >= {LEAST_GROUP} THEN l.max_{k} ELSE a.max_{k} END" for k in FLOORS
-    )
+        mid = "quantile_disc({0}, 0.5)"
+        low = f"{mid} - {SPREAD} * ({mid} - quantile_disc({{0}}, {OUTER})) AS min_{{0}}"
+        high = f"{mid} + {SPREAD} * (quantile_disc({{0}}, {1 - OUTER}) - {mid}) AS max_{{0}}"
+        both = ", ".join(x.format(k) for k in ALLOWED for x in (low, high))
+        return f"{name} AS (SELECT {by}count(*) AS n, {both} FROM f WHERE n_words >= 20 {'GROUP BY ALL' if by else ''})"
+
+    limit = lambda x: f"CASE WHEN s.n >= {LEAST_GROUP} THEN s.{x} WHEN l.n >= {LEAST_GROUP} THEN l.{x} ELSE a.{x} END"
+    allowed = {k: f"{n} / greatest(f.{d}, 1)" for k, (n, d) in ALLOWED.items()}
+    over = " OR ".join(f"f.{k} > {limit(f'max_{k}')} + {v} OR f.{k} < {limit(f'min_{k}')} - {v}" for k, v in allowed.items())
     return f"""WITH {COUNTS_SQL}, {limits("s", "lang, source, ")}, {limits("l", "lang, ")}, {limits("a", "")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({over}, false) AS kept
 FROM f LEFT JOIN s ON f.lang IS NOT DISTINCT FROM s.lang AND f.source IS NOT DISTINCT FROM s.source

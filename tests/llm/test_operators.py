@@ -665,3 +665,27 @@ def test_line_dedup_recall(spark):
     gone = [r["id"] for r in line_dedup.dropped_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()]
     share = {k: sum(kind_of.get(i) == k for i in gone) / 150 for k in kinds}
     assert set(gone) <= set(kind_of) and min(share.values()) >= 0.95, share
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert html_extract.main_text('<a "' * 250_000) == ""
+    assert html_extract.main_text("<a href='" * 250_000) == ""
+    html_extract.main_text("<div>" * 100_000 + "</section>" * 100_000)
+    assert html_extract.main_text("<main><p>Text.</p></main><!-- " + "<a '" * 100_000) == "Text."
+    assert time.process_time() - began < 20
+
+
+def test_quality_fences_follow_each_source(spark):
+    """The same rates pass in a source where they are usual and fail in one where they are not, on either side."""
+    rnd = random.Random(2)
+    plain = lambda n, length: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(length + rnd.choice((-1, 0, 1)))) for _ in range(n))
+    rows = [(i, plain(200, 4), "en", "narrow") for i in range(100)] + [(100 + i, plain(200, 3 + i % 6), "en", "wide") for i in range(100)]
+    rows += [(1000, plain(200, 8), "en", "narrow"), (1001, plain(200, 8), "en", "wide"), (1002, plain(200, 2), "en", "narrow")]
+    rows += [(1003, plain(150, 4) + " #" * 50, "en", "narrow"), (1004, plain(40, 4) + " # #", "en", "narrow")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df).collect()}
+    assert [kept[i] for i in range(1000, 1005)] == [False, True, False, False, True]
+    assert sum(kept[i] for i in range(200)) >= 198
