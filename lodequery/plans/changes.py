@@ -145,6 +145,27 @@ def wal_torn_tail(spark, sf_dir):
     return cdc.valid_prefix(torn).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
+@register("cdc_track", f"WITH {LOG} SELECT 7 + row_number() OVER (ORDER BY ts, id, op, value) - 1 AS seq, ts, id, op, value, 'here' AS origin FROM log")
+def cdc_track(spark, sf_dir):
+    changes = change_log(spark, sf_dir).drop("seq")
+    return cdc.tracked(changes, "here", 7, ties=("id", "op", "value"), span_ms=3_600_000).select("seq", "ts", "id", "op", "value", "origin")
+
+
+@register("cdc_snapshot", "SELECT vec_id AS id, CASE WHEN label < 3 THEN -1 ELSE label END AS label FROM embeddings")
+def cdc_snapshot(spark, sf_dir):
+    """A replica that has old rows of all documents takes a snapshot of those of which the vector is known."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    held = rows.withColumn("vector", F.when(F.col("label") >= 3, F.col("vector")))
+    return cdc.apply_snapshot(rows.withColumn("label", F.lit(-1)), cdc.snapshot(held)).select("id", "label")
+
+
+@register("cdc_replication_state", f"WITH {LOG} SELECT op AS remote, greatest(max(seq), 500) AS last_synced FROM log GROUP BY op")
+def cdc_replication_state(spark, sf_dir):
+    log = change_log(spark, sf_dir).withColumn("remote", F.col("op"))
+    known = log.select("remote", F.lit(500).cast("long").alias("last_synced")).distinct()
+    return cdc.replication_state(known, log)
+
+
 APPLY = f"""{LOG}, b AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 3 = 0), u AS (SELECT *, op = 'delete' OR seq % 5 <> 0 AS usable FROM log),
 p AS (SELECT u.*, lag(op) OVER (PARTITION BY u.id, usable ORDER BY seq) AS before, b.id IS NOT NULL AS base FROM u LEFT JOIN b ON b.id = u.id),
 f AS (SELECT *, usable AND CASE op WHEN 'update' THEN true WHEN 'insert' THEN NOT coalesce(before IN ('insert', 'update'), base) ELSE coalesce(before IN ('insert', 'update'), base) END AS eff FROM p)"""

@@ -8,7 +8,7 @@ id with very many operations is no burden.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -114,6 +114,36 @@ def sync(remote: DataFrame, local: DataFrame, last_synced: int | None, strategy:
     return rows.drop("_local_ts")
 
 
+def tracked(changes: DataFrame, origin: str, start: int = 0, ts: str = "ts", ties: Sequence[str] = ("id", "op"), span_ms: int = 60_000) -> DataFrame:
+    """Changes with ``origin`` and ``seq``, numbered without gaps from ``start`` by time and then by ``ties``.
+
+    Rows are numbered within spans of time, whose counts are added up, so no task sees more than a span.
+    """
+    spans = changes.withColumn("_span", F.floor(F.col(ts) / span_ms))
+    counts = spans.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("_span").alias("_of"), before.alias("_before"))
+    place = F.row_number().over(W.partitionBy("_span").orderBy(ts, *ties))
+    numbered = spans.withColumn("_place", place).join(offsets, F.col("_span").eqNullSafe(F.col("_of")))
+    return numbered.withColumns({"seq": start + F.col("_before") + F.col("_place") - 1, "origin": F.lit(origin)}).drop("_span", "_of", "_before", "_place")
+
+
+def snapshot(rows: DataFrame, vector: str = "vector") -> DataFrame:
+    """What a replica starts from: the rows that have a vector."""
+    return rows.where(F.col(vector).isNotNull())
+
+
+def apply_snapshot(base: DataFrame, taken: DataFrame) -> DataFrame:
+    """``base`` with the rows of a snapshot in place of its own of equal id."""
+    return base.join(taken.select("id"), "id", "left_anti").unionByName(taken, allowMissingColumns=True)
+
+
+def replication_state(known: DataFrame, synced: DataFrame) -> DataFrame:
+    """How far each remote is: ``remote`` and ``last_synced``, from what was ``known`` and the changes ``synced`` (remote, seq)."""
+    rows = known.select("remote", "last_synced").unionByName(synced.select("remote", F.col("seq").alias("last_synced")))
+    return rows.groupBy("remote").agg(F.max("last_synced").alias("last_synced"))
+
+
 def to_json(log: DataFrame) -> DataFrame:
     """One JSON document a change."""
     return log.select("seq", F.to_json(F.struct(*log.columns)).alias("json"))
