@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodequery.errors import InvalidConfig
 from lodequery.functions.distance import COSINE, check_query, distance
 from lodequery.functions.quantize import decoded
 
-from .vectors import knn
+from .vectors import knn, knn_batch
 
 MAX_CLUSTERS = 65_536
 
@@ -66,9 +68,23 @@ def probe_search(assigned: DataFrame, centroids: np.ndarray, query: Sequence[flo
     return knn(assigned.where(F.col("cid").isin(probes(centroids, query, n_probes))), query, k, metric, id_col=id_col, vector=vector)
 
 
-def recall(found: DataFrame, exact: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row: how many of the exact hits were found, of how many, as a share."""
-    hit = exact.select(id_col).join(found.select(id_col).distinct(), id_col, "left_semi")
+def probe_batch(assigned: DataFrame, centroids: np.ndarray, queries: np.ndarray, query_ids: Sequence[int], k: int, n_probes: int, metric: str = COSINE) -> DataFrame:
+    """Like :func:`probe_search` for a block of queries: each cluster is searched for the queries that probe it."""
+    near = np.array([probes(centroids, q, n_probes) for q in queries]).reshape(len(queries), -1)
+    parts = []
+    for c in range(len(centroids)):
+        own = np.flatnonzero((near == c).any(1))
+        if len(own):
+            parts.append(knn_batch(assigned.where(F.col("cid") == c), queries[own], [query_ids[i] for i in own], k, metric))
+    found = reduce(DataFrame.unionByName, parts)
+    w = W.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame, id_col: str | Sequence[str] = "id") -> DataFrame:
+    """One row: how many of the exact hits were found, of how many, as a share. Hits are told apart by ``id_col``."""
+    key = [id_col] if isinstance(id_col, str) else list(id_col)
+    hit = exact.select(*key).join(found.select(*key).distinct(), key, "left_semi")
     n, m = hit.agg(F.count("*").alias("hits")), exact.agg(F.count("*").alias("wanted"))
     return n.join(F.broadcast(m)).withColumn("recall", F.when(F.col("wanted") == 0, 1.0).otherwise(F.col("hits") / F.col("wanted")))
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodequery.functions import quantize as qz
 from lodequery.operators import ann, vectors
 
-from .search import METRICS, Q0, embeddings, vector_of
+from .search import METRICS, Q0, embeddings, query_blocks, vector_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -127,12 +129,16 @@ def ivf_probe_search(spark, sf_dir):
 
 @register("ivf_kmeans_recall", None)
 def ivf_kmeans_recall(spark, sf_dir):
-    e, q = embeddings(spark, sf_dir), vector_of(spark, sf_dir, 0)
+    """Of all stated queries; where vectors lie as if at random, most clusters have to be probed."""
+    e = embeddings(spark, sf_dir)
     c = ann.train(e, 8)
-    return ann.recall(ann.probe_search(ann.assign(e, c), c, q, 10, 4), vectors.knn(e, q, 10))
+    assigned, blocks = ann.assign(e, c), list(query_blocks(spark, sf_dir))
+    found = [ann.probe_batch(assigned, c, q, ids, 10, 7) for ids, q in blocks]
+    exact = [vectors.knn_batch(e, q, ids, 10) for ids, q in blocks]
+    return ann.recall(reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, exact), ("query_id", "id"))
 
 
 @register("lsh_recall", None)
 def lsh_recall(spark, sf_dir):
     e, q = embeddings(spark, sf_dir), vector_of(spark, sf_dir, 0)
-    return ann.recall(vectors.knn(ann.lsh_candidates(e, q, 8, 4), q, 10), vectors.knn(e, q, 10))
+    return ann.recall(vectors.knn(ann.lsh_candidates(e, q, 32, 4), q, 10), vectors.knn(e, q, 10))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,12 +88,17 @@ for _m, _sql in METRICS.items():
     )(_pairwise(_m))
 
 
+def query_blocks(spark: SparkSession, sf_dir: str) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The ids and vectors of the stated queries, every row whose id is divisible by 50, in blocks."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").orderBy("vec_id").select("vec_id", "embedding").toLocalIterator()
+    while block := list(islice(rows, vectors.MAX_QUERIES)):
+        yield [r["vec_id"] for r in block], np.array([r["embedding"] for r in block], np.float64)
+
+
 def _batch(metric: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, "embeddings").where("vec_id < 20").orderBy("vec_id").collect()
-        q = np.array([r["embedding"] for r in rows], np.float64)
-        out = vectors.knn_batch(embeddings(spark, sf_dir), q, [r["vec_id"] for r in rows], 5, metric)
-        return out.select("query_id", "id", F.round("distance", 5).alias("distance"), "rank")
+        blocks = [vectors.knn_batch(embeddings(spark, sf_dir), q, ids, 5, metric) for ids, q in query_blocks(spark, sf_dir)]
+        return reduce(DataFrame.unionByName, blocks).select("query_id", "id", F.round("distance", 5).alias("distance"), "rank")
 
     return run
 
@@ -98,7 +107,7 @@ for _m in ("cosine", "euclidean", "manhattan"):
     register(
         "knn_batch" if _m == "cosine" else f"knn_batch_{_m}",
         f"""WITH d AS (SELECT qs.vec_id AS query_id, e.vec_id AS id, {METRICS[_m].replace('embedding::DOUBLE[]', 'e.embedding::DOUBLE[]')} AS d
-FROM embeddings e, (SELECT vec_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20) qs),
+FROM embeddings e, (SELECT vec_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0) qs),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM d)
 SELECT query_id, id, abs(round(d, 5)) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 5""",
     )(lambda spark, sf_dir, run=_batch(_m): run(spark, sf_dir).withColumn("distance", F.abs("distance")))

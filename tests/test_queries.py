@@ -35,4 +35,5 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_kmeans_recall(spark):
-    assert registry.queries()["ivf_kmeans_recall"](spark, SF).first()["recall"] >= 0.5
+    assert registry.queries()["ivf_kmeans_recall"](spark, SF).first()["recall"] >= 0.9
+    assert registry.queries()["lsh_recall"](spark, SF).first()["recall"] >= 0.9
