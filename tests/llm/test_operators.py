@@ -689,3 +689,13 @@ def test_quality_fences_follow_each_source(spark):
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df).collect()}
     assert [kept[i] for i in range(1000, 1005)] == [False, True, False, False, True]
     assert sum(kept[i] for i in range(200)) >= 198
+
+
+def test_columns_with_dots_and_clashing_names_are_kept(spark):
+    schema = "doc_id long, text string, lang string, source string, `a.b` string, line string, h long, root long, keys string"
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, "en", "s", "x", "y", 3, 4, "z"), (2, "other " + text[::-1], "en", "s", None, None, None, None, None)], schema)
+    for f in (quality_rules.quality_filter, language_id.language_filter, line_dedup.dedup_documents, ngram_join.one_of_each):
+        got = f(df)
+        assert got.columns == df.columns
+        assert [r["a.b"] for r in got.where("doc_id = 1").collect()] == ["x"]
