@@ -16,7 +16,9 @@ pairs apart before their texts are read; they give a lower bound on the shingles
 only one line has, which never parts a link. Of each connected component of equal or
 linked lines, the first line stays, by document id and place; the others are removed.
 
-All of it is DataFrame functions, and no join is forced to be a broadcast. Rows with
+All of it is DataFrame functions, and no join is forced to be a broadcast. Arrays, none
+of which is empty, are exploded in the outer form, before which the optimizer puts no
+filter that would compute each of them once more. Rows with
 equal id and text are one document; null and empty texts stay as they are; short and
 blank lines always stay; very long lines are compared whole; of equal lines the first
 by id, text hash and place stays, null ids before others; an empty table gives an
@@ -27,6 +29,7 @@ keeps them, whatever their names. Lines are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,16 +62,20 @@ def _points(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _shingle(points: Column, i: Column, n: int) -> Column:
-    """The hash of the ``n`` characters from place ``i``."""
-    return F.xxhash64(F.substring(points, 4 * i + 1, F.lit(4 * n)))
+def _shingle(points: Column, i: Column, n: int, width: int = 4) -> Column:
+    """The hash of the ``n`` characters of ``width`` bytes from place ``i``."""
+    return F.xxhash64(F.substring(points, width * i + 1, F.lit(width * n)))
 
 
-def _shingled(lines: DataFrame, n: int) -> DataFrame:
-    """A row for each start of a shingle of each line (h, line): ``h``, ``m`` starts, ``i`` and ``x``, the shingle's hash."""
-    rows = lines.select("h", _points(F.col("line")).alias("points")).withColumn("m", (F.length("points") / 4).cast("int") - (n - 1))
-    rows = rows.select("h", "m", "points", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
-    return rows.select("h", "m", "i", _shingle(F.col("points"), F.col("i"), n).alias("x"))
+def _shingled(lines: DataFrame, n: int, width: int = 4, **of_line: Column) -> DataFrame:
+    """A row for each start of a shingle of each line (h, line): ``h``, ``m`` starts, ``i`` and ``x``, the shingle's hash.
+
+    ``of_line`` are columns that follow from ``m``. A ``width`` of two bytes costs less; characters beyond 16 bits are two then.
+    """
+    units = _points(F.col("line")) if width == 4 else F.encode(F.col("line"), "UTF-16BE")
+    rows = lines.select("h", units.alias("points")).withColumn("m", F.shiftright(F.length("points"), width // 2) - (n - 1))
+    rows = rows.select("h", "m", *[c.alias(k) for k, c in of_line.items()], "points", F.explode_outer(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    return rows.select("h", "m", *of_line, "i", _shingle(F.col("points"), F.col("i"), n, width).alias("x"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,7 +84,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    lines = rows.select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = rows.select("id", "row", F.posexplode_outer(F.split("text", "\n")).alias("place", "line"))
     return lines.where(F.length(F.trim("line")) >= LEAST_CHARS).withColumn("h", F.xxhash64("line"))
 
 
@@ -87,9 +94,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     Of a long line only hashes in the lowest part of the range are looked at, which holds its smallest ones, and those of
     the first starts, as a line that repeats a short unit has few different ones, which may all be higher.
     """
-    rows = _shingled(lines, SIGNATURE_CHARS).withColumn("y", F.shiftrightunsigned("x", 1))
-    low = F.expr(f"y div {SAMPLED} <= {_LARGEST} div m")
-    rows = rows.where((F.col("i") < SIGNATURE_CHARS) | low).select("h", (F.col("i") == 0).alias("begins"), "y")
+    low = F.expr(f"if(m <= {SAMPLED}, {_LARGEST}, {_LARGEST} div m * {SAMPLED})")
+    rows = _shingled(lines, SIGNATURE_CHARS, 2, low=low).withColumn("y", F.shiftrightunsigned("x", 1))
+    rows = rows.where((F.col("i") < SIGNATURE_CHARS) | (F.col("y") <= F.col("low"))).select("h", (F.col("i") == 0).alias("begins"), "y")
     bins = [F.min(F.when(F.col("y").bitwiseAND(F.lit(BINS - 1)) == k, F.col("y"))).alias(f"b{k}") for k in range(BINS)]
     found = rows.groupBy("h").agg(F.count_if("begins").alias("n"), *bins)
     smallest = F.slice(F.sort_array(F.array_compact(F.array(*[f"b{k}" for k in range(BINS)]))), 1, SIGNATURE)
@@ -103,19 +110,35 @@ def _bands(found: DataFrame) -> DataFrame:
     return found.select("h", F.explode(F.array(F.when(F.size("s") == 1, value(0)), *pairs)).alias("key")).where("key IS NOT NULL")
 
 
-def _meeting(rows: DataFrame) -> DataFrame:
-    """Lines (key, h) that share a key with others: ``others`` are the first and the one before, ``n`` is its lines."""
-    w = W.partitionBy("key").orderBy("h")
-    # Most keys hold one line: they go before others are looked for.
-    rows = rows.withColumns({"before": F.lag("h").over(w), "after": F.lead("h").over(w)}).where("before IS NOT NULL OR after IS NOT NULL")
-    others = F.array(F.first("h").over(w), "before")
-    return rows.select("key", "h", others.alias("others"), F.count("*").over(W.partitionBy("key")).alias("n"))
+def _meeting(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The small and the crowded bands in which lines meet.
+
+    Bands of two or three lines are rows ``a``, ``b`` and ``c``, their smallest, largest and other line, if any; bands of
+    more are rows (key, h). Most bands hold one line: they take no more than a place in a hash aggregation.
+    """
+    ends = _bands(found).repartition("key").groupBy("key").agg(
+        F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b"), F.bit_xor("h").alias("x"),
+    )
+    bands = materialise(ends.where("n > 1"), "bands")
+    third = F.when(F.col("n") == 3, F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b")))
+    small = bands.where("n <= 3").select("a", "b", third.alias("c"))
+    crowded = _bands(found).join(bands.where("n > 3").select("key"), "key").select("key", "h")
+    return small, materialise(crowded, "crowded")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Candidate pairs ``a < b`` of line hashes."""
-    rows = met.select("h", F.explode("others").alias("o")).where("o < h")
-    return rows.select(F.col("o").alias("a"), F.col("h").alias("b")).distinct()
+def _pairs(small: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Candidate pairs ``a < b`` of line hashes: all of small bands, each line with the first and the one before of crowded ones."""
+    three = small.where("c IS NOT NULL")
+    w = W.partitionBy("key").orderBy("h")
+    others = F.array(F.first("h").over(w), F.lag("h").over(w))
+    rows = crowded.select("h", others.alias("others")).select("h", F.explode("others").alias("o")).where("o < h")
+    parts = [
+        small.select("a", "b"),
+        three.select("a", F.col("c").alias("b")),
+        three.select(F.col("c").alias("a"), "b"),
+        rows.select(F.col("o").alias("a"), F.col("h").alias("b")),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def _hashed(line: Column) -> Column:
@@ -138,7 +161,8 @@ def _sketches(texts: DataFrame) -> DataFrame:
     """Of each line (h, line) the count ``n`` of its shingles and, in ``SKETCH`` longs, the parity of those that fall on each bit."""
     bit = "shiftleft(1L, cast(shiftright(x, 8) & 63 as int))"
     parts = [F.expr(f"bit_xor(if((x & {SKETCH - 1}) = {i}, {bit}, 0L))").alias(f"p{i}") for i in range(SKETCH)]
-    return texts.select("h", F.explode(_hashed(F.col("line"))).alias("x")).groupBy("h").agg(F.count("*").alias("n"), *parts)
+    hashed = texts.select("h", _hashed(F.col("line")).alias("xs"))  # apart from the explode, which is compiled then
+    return hashed.select("h", F.explode_outer("xs").alias("x")).groupBy("h").agg(F.count("*").alias("n"), *parts)
 
 
 def _may_be_similar(x: str, y: str) -> Column:
@@ -223,10 +247,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``id``, ``row`` (a hash of the text) and ``places`` of the lines that are to be removed."""
     rows = _rows(docs, id_col, text_col)
     found = materialise(signatures(_lines(rows).select("h", "line")), "signatures")
-    met = materialise(_meeting(_bands(found)), "bands")
-    pairs = materialise(_pairs(met), "pairs")
-    crowded = met.where("n > 3").select("key", "h")  # in others, all pairs are made
+    small, crowded = _meeting(found)
+    pairs = materialise(_pairs(small, crowded), "pairs")
     # Only lines that stand twice or meet another need further work.
+    met = small.select(F.explode(F.array("a", "b", "c")).alias("h")).where("h IS NOT NULL").unionByName(crowded.select("h"))
     meeting = met.select("h", F.lit(True).alias("meets")).distinct()
     twice = found.where("n > 1").select("h", F.lit(False).alias("meets"))
     wanted = meeting.unionByName(twice).groupBy("h").agg(F.max("meets").alias("meets"))
