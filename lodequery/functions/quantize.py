@@ -168,6 +168,25 @@ def polar_distance(a: Column, b: Column) -> Column:
     return 1 - fold(cosines) / F.size(a)
 
 
+def quantised_distance(metric: str, a: Column, kind_a: str, b: Column, kind_b: str, dimensions: int) -> Column:
+    """Distance of two vectors stored in any kinds; ``none`` is a plain vector.
+
+    Codes of one kind are compared as they are; two kinds, and polar codes by anything but the cosine, as decoded vectors.
+    """
+    metric = parse_distance(metric)
+    if kind_a == kind_b:
+        if kind_a in ("none", "int8", "int3"):
+            return codes_distance(metric, a, b)
+        if kind_a == "binary":
+            return binary_distance(metric, packed(a, 1), packed(b, 1), dimensions)
+        if kind_a == "polar" and metric == COSINE:
+            return polar_distance(a, b)
+    from .distance import distance
+
+    plain = lambda v, kind: v if kind == "none" else decoded(kind, v, dimensions)
+    return distance(metric, plain(a, kind_a), plain(b, kind_b))
+
+
 def memory_bytes(kind: str, dimensions: int) -> int:
     """Bytes of one stored vector of a kind."""
     sizes = {"none": 4 * dimensions, "int8": dimensions, "int3": 8 * -(-dimensions // PER_WORD), "binary": 8 * -(-dimensions // 64)}

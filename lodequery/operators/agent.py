@@ -24,7 +24,11 @@ SEARCHED = {
     "error_solution": ("error_message", "root_cause", "solution"),
 }
 LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "golang": "go", "c++": "cpp", "cs": "csharp", "c#": "csharp", "rb": "ruby"}
+# How a kind's ids begin, how lists are joined, and how many turns and errors a context keeps.
+PREFIXES = {"episode": "episode", "code": "code", "api": "api", "error_solution": "error"}
+JOINED = {"learnings": "\n", "errors": "\n", "tags": ",", "dependencies": ","}
 TURNS, ERRORS = 20, 10
+CONTEXT_ID, INTERNAL = "__working_context__", "__internal__"
 
 
 def parse_language(name: str) -> str:
@@ -40,6 +44,23 @@ def records(rows: DataFrame, kind: str, embed=None) -> DataFrame:
     return out if embed is None else out.withColumn("vector", embed(F.concat_ws(" ", *cols)))
 
 
+def learned(rows: DataFrame, kind: str, key: str, now: int, project: str | None = None, embed=None) -> DataFrame:
+    """Rows of a kind as records: ``id`` by the kind and ``key``, ``type``, ``description``, the ``timestamp`` of learning.
+
+    Lists become texts and are left null where empty. What describes an episode is its task, and an error its message.
+    Records without a project of their own get the current ``project``; vectors follow from the searched texts.
+    """
+    lists = {c: s for c, s in JOINED.items() if c in rows.columns and dict(rows.dtypes)[c].startswith("array")}
+    out = rows.withColumns({c: F.when(F.size(c) > 0, F.array_join(c, s)) for c, s in lists.items()})
+    described = {"episode": "task", "error_solution": "error_message"}.get(kind)
+    if described:
+        out = out.withColumn("description", F.col(described))
+    if project is not None:
+        out = out.withColumn("project", F.coalesce("project", F.lit(project)) if "project" in rows.columns else F.lit(project))
+    out = out.withColumn("id", F.concat(F.lit(f"{PREFIXES[kind]}-"), F.col(key).cast("string")))
+    return records(out.withColumn("timestamp", F.lit(now).cast("long")), kind, embed)
+
+
 def byte_embedding(text: Column, dimensions: int = 384) -> Column:
     """A deterministic embedding for tests: bytes over 255 added up by place, normalised."""
     @F.pandas_udf("array<float>")
@@ -75,7 +96,7 @@ def recall_in_project(memory: DataFrame, query: Sequence[float], k: int, project
 
 def type_stats(memory: DataFrame, kind: str = "type") -> DataFrame:
     """Records by kind, without internal ones."""
-    return memory.where(F.coalesce(F.col(kind), F.lit("")) != "__internal__").groupBy(kind).agg(F.count("*").alias("n"))
+    return memory.where(F.coalesce(F.col(kind), F.lit("")) != INTERNAL).groupBy(kind).agg(F.count("*").alias("n"))
 
 
 def forget(memory: DataFrame, ids: DataFrame) -> DataFrame:
@@ -103,3 +124,57 @@ def context_text(turns: DataFrame, conversation: str, order: str, role: str = "r
     last = recent_turns(turns, conversation, order, keep)
     lines = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.col(role), F.lit(": "), F.col(text)).alias("line"))))
     return last.groupBy(conversation).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))
+
+
+def working_contexts(events: DataFrame, session: str = "session", order: str = "order") -> DataFrame:
+    """The working context of each session after its events (``kind``, ``value``, ``role`` of turns) in their order.
+
+    Kinds are project, task, file, goal, done (a goal is reached), turn, error and clear. ``project`` and ``task`` are the
+    last ones, ``files`` each once and ``goals`` those not reached since, both as they came, ``turns`` the last 20 and
+    ``errors`` the last 10. A clear empties all; sessions with nothing left have no row. Each part is settled by
+    aggregations before a session's rows meet, so no task holds all of a session's events.
+    """
+    rows = events.select(F.col(session).alias("session"), F.col(order).alias("at"), "kind", "value", "role")
+    cleared = rows.where("kind = 'clear'").groupBy("session").agg(F.max("at").alias("cleared"))
+    rows = rows.join(cleared, "session", "left").where("cleared IS NULL OR at > cleared").drop("cleared")
+    last = rows.where("kind IN ('project', 'task')").groupBy("session", "kind").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+    files = rows.where("kind = 'file'").groupBy("session", "kind", "value").agg(F.min("at").alias("at"))
+    done = rows.where("kind = 'done'").groupBy("session", "value").agg(F.max("at").alias("done"))
+    goals = rows.where("kind = 'goal'").join(done, ["session", "value"], "left").where("done IS NULL OR at > done")
+    w = W.partitionBy("session").orderBy(F.desc("at"))
+    newest = [rows.where(F.col("kind") == k).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n") for k, n in (("turn", TURNS), ("error", ERRORS))]
+    cols = ["session", "kind", "at", "value"]
+    parts = [x.select(*cols, F.lit(None).cast("string").alias("role")) for x in (last, files, goals)] + [x.select(*cols, "role") for x in newest]
+    kept = parts[0]
+    for part in parts[1:]:
+        kept = kept.unionByName(part)
+    listed = lambda k, *f: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("at", *f)))), lambda x: F.struct(*[x[c].alias(c) for c in f]) if len(f) > 1 else x[f[0]])
+    only = lambda k: F.max(F.when(F.col("kind") == k, F.col("value")))
+    return kept.groupBy("session").agg(
+        only("project").alias("project"), only("task").alias("task"), listed("goal", "value").alias("goals"), listed("file", "value").alias("files"),
+        listed("turn", "role", "value").alias("turns"), listed("error", "value").alias("errors"),
+    )
+
+
+def context_string() -> Column:
+    """A context's project, task, goals and files as the text that is embedded, a line each; empty ones have none."""
+    some = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), F.array_join(c, ", ")))
+    return F.concat_ws("\n", F.concat(F.lit("Project: "), "project"), F.concat(F.lit("Task: "), "task"), some("Goals", F.col("goals")), some("Files", F.col("files")))
+
+
+CONTEXT_SCHEMA = "project string, task string, goals array<string>, files array<string>, turns array<struct<role:string,value:string>>, errors array<string>"
+
+
+def saved_contexts(contexts: DataFrame) -> DataFrame:
+    """Contexts as internal documents, one a session, for a store."""
+    fields = [c.split(" ")[0] for c in CONTEXT_SCHEMA.split(", ")]
+    return contexts.select(
+        F.concat(F.lit(f"{CONTEXT_ID}:"), F.col("session").cast("string")).alias("id"), F.lit(INTERNAL).alias("type"), F.to_json(F.struct(*fields)).alias("__data__")
+    )
+
+
+def loaded_contexts(stored: DataFrame) -> DataFrame:
+    """The contexts of stored documents; what can't be read gives an empty one. ``session`` is a text."""
+    rows = stored.where((F.col("type") == INTERNAL) & F.col("id").startswith(f"{CONTEXT_ID}:"))
+    c = F.from_json("__data__", CONTEXT_SCHEMA)
+    return rows.select(F.substring("id", len(CONTEXT_ID) + 2, 1 << 30).alias("session"), c.alias("c")).select("session", "c.*")

@@ -26,7 +26,7 @@ def index(df: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
 
 def stats(indexed: DataFrame) -> DataFrame:
     """One row: documents, distinct terms, tokens and the mean length."""
-    terms = indexed.select(F.explode("tokens").alias("t")).agg(F.countDistinct("t").alias("unique_terms"))
+    terms = indexed.select(F.explode_outer("tokens").alias("t")).agg(F.countDistinct("t").alias("unique_terms"))
     sizes = indexed.agg(
         F.count("*").alias("total_documents"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_tokens"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_length")
     )

@@ -33,7 +33,8 @@ def _rows(df: DataFrame, chunks: Column, text: str, prefix: str) -> DataFrame:
     """``df`` without its text, exploded to one row for each struct of ``chunks``."""
     keep = [F.col(f"`{c}`") for c in df.columns if c != text and c not in OWN_COLUMNS]
     rows = df.select(*keep, chunks.alias("_c")).withColumn("total", F.size("_c"))
-    rows = rows.select(*keep, "total", F.posexplode("_c").alias("index", "_x"))
+    # The outer form, as the optimizer puts a filter before the other one that computes the chunks once more.
+    rows = rows.select(*keep, "total", F.posexplode_outer("_c").alias("index", "_x")).where(F.col("_x").isNotNull())
     return rows.withColumn("chunk_id", F.concat(F.lit(f"{prefix}-"), F.col("index"))).select("*", "_x.*").drop("_x")
 
 

@@ -73,6 +73,25 @@ def quant_binary_hamming(spark, sf_dir):
     return both.select("id", qz.hamming(F.col("w"), F.col("q")).alias("hamming"), F.round(qz.binary_distance("cosine", F.col("w"), F.col("q"), 64), 6).alias("cosine"))
 
 
+@register("quant_pair_distance", f"""WITH c AS (SELECT id, v, list_transform({INT8}, lambda z: z::DOUBLE) AS c8, list_transform({INT3}, lambda z: z::DOUBLE) AS c3, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END::DOUBLE) AS s FROM {E}),
+p AS (SELECT a.id, a.v, a.c8, a.c3, a.s, b.c8 AS q8, b.c3 AS q3, b.s AS qs FROM c a, c b WHERE b.id = 0)
+SELECT id, round(-list_inner_product(c8, q8), 6) AS int8_dot, round(list_sum(list_transform(list_zip(c8, q8), lambda z: abs(z[1] - z[2]))), 6) AS int8_manhattan,
+round(-list_inner_product(c3, q3), 6) AS int3_dot, round(list_sum(list_transform(list_zip(c3, q3), lambda z: abs(z[1] - z[2]))), 6) AS int3_manhattan,
+-list_sum(list_transform(list_zip(s, qs), lambda z: CASE WHEN z[1] = z[2] THEN 1.0 ELSE 0.0 END))::DOUBLE AS binary_dot,
+round(list_distance(list_transform(c8, lambda z: (z + 128) / 127.0 - 1.0)::DOUBLE[], qs), 6) AS int8_binary_euclidean,
+round(list_cosine_distance(v, list_transform(q3, lambda z: z / 7.0 * 2.0 - 1.0)::DOUBLE[]), 6) AS none_int3_cosine FROM p""")
+def quant_pair_distance(spark, sf_dir):
+    kinds = ("int8", "int3", "binary")
+    c = embeddings(spark, sf_dir).select("id", F.col("vector").alias("none"), *[qz.encoded(k, F.col("vector"), 64).alias(k) for k in kinds])
+    both = c.join(F.broadcast(c.where("id = 0").select(*[F.col(k).alias(f"q_{k}") for k in kinds])))  # one row
+    d = lambda metric, a, b: F.round(qz.quantised_distance(metric, F.col(a), a, F.col(f"q_{b}"), b, 64), 6)
+    found = {
+        "int8_dot": d("dot", "int8", "int8"), "int8_manhattan": d("manhattan", "int8", "int8"), "int3_dot": d("dot", "int3", "int3"), "int3_manhattan": d("manhattan", "int3", "int3"),
+        "binary_dot": d("dot", "binary", "binary"), "int8_binary_euclidean": d("euclidean", "int8", "binary"), "none_int3_cosine": d("cosine", "none", "int3"),
+    }
+    return both.select("id", *[v.alias(k) for k, v in found.items()])
+
+
 def _polar_sql() -> str:
     signs, order = qz.rotation(64)
     at = lambda i: f"(n[{order[i] + 1}] * {signs[order[i]]})"

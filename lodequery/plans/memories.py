@@ -266,7 +266,47 @@ def agent_recall_similar(spark, sf_dir):
     return agent.recall_similar(d, vector_of(spark, sf_dir, 0), "the of", 10).select("id", F.round("score", 8).alias("score"))
 
 
-@register("byte_embedding", None)
+SESSIONS = """ev AS (SELECT user_id AS s, event_id AS o, CASE event_type WHEN 'click' THEN 'file' WHEN 'purchase' THEN 'goal' WHEN 'error' THEN 'error' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'done' ELSE 'turn' END
+  ELSE CASE event_id % 5 WHEN 0 THEN 'clear' WHEN 1 THEN 'project' ELSE 'task' END END AS kind,
+  CASE WHEN event_type = 'click' THEN 'f' || event_id % 7 WHEN event_type = 'purchase' OR event_type = 'view' AND event_id % 2 = 0 THEN 'g' || event_id // 2 % 4 ELSE 'v' || event_id END AS value FROM events)"""
+
+
+def _session_events(spark, sf_dir):
+    """The events as those of sessions, a session a user."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    done = (kind == "view") & (e % 2 == 0)
+    other = F.when(e % 5 == 0, "clear").when(e % 5 == 1, "project").otherwise("task")
+    kinds = F.when(kind == "click", "file").when(kind == "purchase", "goal").when(kind == "error", "error").when(done, "done").when(kind == "view", "turn").otherwise(other)
+    value = F.when(kind == "click", F.concat(F.lit("f"), e % 7)).when((kind == "purchase") | done, F.concat(F.lit("g"), F.floor(e / 2) % 4)).otherwise(F.concat(F.lit("v"), e))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), e.alias("order"), kinds.alias("kind"), value.alias("value"), F.lit("user").alias("role"))
+
+
+@register("agent_working_context", f"""WITH {SESSIONS}, c AS (SELECT s, max(o) AS cl FROM ev WHERE kind = 'clear' GROUP BY s), live AS (SELECT ev.* FROM ev LEFT JOIN c USING (s) WHERE cl IS NULL OR o > cl),
+p AS (SELECT s, kind, min(o) AS o, value FROM live WHERE kind = 'file' GROUP BY s, kind, value
+  UNION ALL SELECT s, kind, o, value FROM live g WHERE kind = 'goal' AND NOT EXISTS (SELECT 1 FROM live d WHERE d.s = g.s AND d.kind = 'done' AND d.value = g.value AND d.o > g.o)
+  UNION ALL SELECT s, kind, max(o), max_by(value, o) FROM live WHERE kind IN ('project', 'task') GROUP BY s, kind
+  UNION ALL (SELECT s, kind, o, value FROM live WHERE kind IN ('turn', 'error') QUALIFY row_number() OVER (PARTITION BY s, kind ORDER BY o DESC) <= CASE kind WHEN 'turn' THEN 20 ELSE 10 END))
+SELECT s::VARCHAR AS session, concat_ws(chr(10), 'Project: ' || max(value) FILTER (WHERE kind = 'project'), 'Task: ' || max(value) FILTER (WHERE kind = 'task'),
+  'Goals: ' || string_agg(value, ', ' ORDER BY o) FILTER (WHERE kind = 'goal'), 'Files: ' || string_agg(value, ', ' ORDER BY o) FILTER (WHERE kind = 'file')) AS context,
+  coalesce(string_agg('user ' || value, ',' ORDER BY o) FILTER (WHERE kind = 'turn'), '') AS turns, coalesce(string_agg(value, ',' ORDER BY o) FILTER (WHERE kind = 'error'), '') AS errors FROM p GROUP BY s""")
+def agent_working_context(spark, sf_dir):
+    """The contexts as they are read back from internal documents."""
+    c = agent.loaded_contexts(agent.saved_contexts(agent.working_contexts(_session_events(spark, sf_dir))))
+    turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(" "), x["value"])), ",")
+    return c.select("session", agent.context_string().alias("context"), turns.alias("turns"), F.array_join("errors", ",").alias("errors"))
+
+
+@register("agent_learned", f"SELECT 'episode-' || doc_id AS id, 'episode' AS type, source AS description, CASE WHEN doc_id % 3 > 0 THEN lang || chr(10) || source END AS learnings, CASE WHEN doc_id % 3 > 0 THEN lang || ',' || source END AS tags, CASE WHEN doc_id % 2 = 0 THEN 'own' ELSE 'current' END AS project, {NOW}::BIGINT AS timestamp FROM documents")
+def agent_learned(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    noted = F.when(F.col("doc_id") % 3 > 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
+    rows = d.select("doc_id", F.col("source").alias("task"), noted.alias("learnings"), noted.alias("tags"), F.when(F.col("doc_id") % 2 == 0, "own").alias("project"))
+    return agent.learned(rows, "episode", "doc_id", NOW, "current").select("id", "type", "description", "learnings", "tags", "project", "timestamp")
+
+
+@register("byte_embedding", """WITH b AS (SELECT doc_id AS id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents), u AS (SELECT id, unnest(h) AS x, (generate_subscripts(h, 1) - 1) % 64 AS d FROM b),
+v AS (SELECT id, d, sum(('0x' || x)::INTEGER / 255.0::DOUBLE) AS v FROM u GROUP BY ALL), n AS (SELECT id, sum(v) FILTER (WHERE d = 0) / sqrt(sum(v * v)) AS f FROM v GROUP BY id)
+SELECT doc_id AS id, round(coalesce(f, 0)::FLOAT::DOUBLE, 5) AS first FROM documents LEFT JOIN n ON id = doc_id""")
 def byte_embedding(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), agent.byte_embedding(F.col("text"), 64).alias("v"))
     return d.select("id", F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"))
