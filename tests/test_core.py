@@ -256,3 +256,17 @@ def test_chunks_of_repeated_documents_and_clashing_columns(spark):
     assert sorted(r["index"] for r in rows) == sorted([*range(rows[0]["total"])] * 2)
     assert {r["heading"] for r in rows} == {"A", "B"} and "x" not in {r["content"] for r in rows}
     assert {r["heading"] for r in chunking.by_heading(df).collect()} == {"A", "B"}
+
+
+def test_working_contexts(spark):
+    rows = [
+        (1, 1, "goal", "lost", None), (1, 2, "clear", None, None), (1, 3, "goal", "a", None), (1, 4, "done", "a", None), (1, 5, "goal", "b", None), (1, 6, "goal", "a", None),
+        (1, 7, "file", "x", None), (1, 8, "file", "y", None), (1, 9, "file", "x", None), (1, 10, "project", "p", None), (1, 11, "project", "q", None),
+        *[(1, 20 + i, "turn", f"t{i}", "user") for i in range(25)], *[(1, 50 + i, "error", f"e{i}", None) for i in range(12)], (2, 1, "task", "gone", None), (2, 2, "clear", None, None),
+    ]
+    events = spark.createDataFrame(rows, "session long, order long, kind string, value string, role string")
+    stored = agent.saved_contexts(agent.working_contexts(events))
+    assert {r["type"] for r in stored.collect()} == {agent.INTERNAL}
+    [c] = agent.loaded_contexts(stored).withColumn("text", agent.context_string()).collect()
+    assert c["session"] == "1" and c["text"] == "Project: q\nGoals: b, a\nFiles: x, y"
+    assert [t["value"] for t in c["turns"]] == [f"t{i}" for i in range(5, 25)] and c["errors"] == [f"e{i}" for i in range(2, 12)]
