@@ -1,7 +1,11 @@
 """License scans by template-markup matching.
 
 A template is a line of words in which ``[[...]]`` marks a region that may be
-absent and ``{{n}}`` a region that up to ``n`` words of any kind may fill.
+absent and ``{{n}}`` or ``{{m,n}}`` a region that ``m`` (or no) to ``n`` words of
+any kind fill. :func:`from_markup` makes one of a whole licence text in the markup
+that lists of licences publish: ``<<beginOptional>>``, ``<<endOptional>>`` and
+``<<var;name=..;original=..;match=..>>``, whose ``.{m,n}`` counts words here and
+whose ``.*`` and ``.+`` have ``VAR_WORDS`` at most, so that automata are finite.
 Templates are compiled into token automata; a text has a template's label where
 some run of its words is accepted, so all wording outside the marked regions has
 to match word for word.
@@ -9,6 +13,8 @@ to match word for word.
 Nulls and texts without a word have no label, a score of 0 and null places; very
 long texts are scanned whole, one text at a time; repeated rows give equal rows;
 an empty table gives an empty result; other columns of the input are left out.
+Of several runs of a template from one place the longest counts; equal labels are
+named once.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_texts import MARKUP
 
 # Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -41,6 +48,8 @@ TEMPLATES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this [[{{3}}]] software and associated documentation files",
 }
 
+VAR_WORDS = 20  # of a replaceable region without a bound of its own
+
 OUTPUT = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "spans array<struct<label:string,start:long,end:long>>"
@@ -56,6 +65,37 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORD_BYTES).split()
 
 
+_TOKEN = re.compile(r"\[\[|\]\]|\{\{\d+(?:,\d+)?\}\}|[^\s\[\]{}]+")
+_TAG = re.compile(r"<<(.*?)>>", re.S)
+
+
+def from_markup(markup: str) -> str:
+    """The template of a licence text whose optional and replaceable regions are in tags."""
+    out = []
+    for i, part in enumerate(_TAG.split(markup)):
+        kind = part.split(";")[0].strip() if i % 2 else ""
+        if i % 2 == 0:
+            out += [w.decode() for w in words_of(part)]
+        elif kind == "beginOptional":
+            out.append("[[")
+        elif kind == "endOptional":
+            out.append("]]")
+        elif kind == "var":
+            match = re.search(r'match="(.*?)"', part, re.S)
+            bounds = re.fullmatch(r"\.\{(\d+),(\d+)\}", match[1]) if match else None
+            least, most = (int(bounds[1]), int(bounds[2])) if bounds else (int(bool(match) and match[1] == ".+"), VAR_WORDS)
+            out.append(f"{{{{{least},{most}}}}}")
+        else:
+            raise ValueError(f"an unknown tag: {part}")
+    return " ".join(out)
+
+
+def _bounds(token: str) -> tuple[int, int]:
+    """The least and the largest number of words of a replaceable region."""
+    numbers = [int(x) for x in token[2:-2].split(",")]
+    return (numbers[0] if len(numbers) == 2 else 0), numbers[-1]
+
+
 @dataclass
 class Automaton:
     """Token automaton of one template; ``on[s]`` maps a word, or None for any word, to the next state."""
@@ -104,7 +144,7 @@ class Automaton:
 
 def compile_template(label: str, template: str) -> Automaton:
     """The automaton of a template. It has to begin with a word outside any marked region."""
-    tokens = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template)
+    tokens = _TOKEN.findall(template)
     depth, mandatory = 0, []
     for t in tokens:
         depth += (t == "[[") - (t == "]]")
@@ -128,13 +168,17 @@ def compile_template(label: str, template: str) -> Automaton:
             a.skips[opened.pop()].add(new)
             at = new
         elif t.startswith("{{"):
-            end = a._state()
-            a.skips[at].add(end)
-            for _ in range(int(t[2:-2])):
-                new = a._state()
-                a.on[at][None] = new
-                a.skips[new].add(end)
-                at = new
+            least, most = _bounds(t)
+            begin, end = a._state(), a._state()
+            a.skips[at].add(begin)
+            at = begin
+            for filled in range(most + 1):
+                if filled >= least:
+                    a.skips[at].add(end)
+                if filled < most:
+                    new = a._state()
+                    a.on[at][None] = new
+                    at = new
             at = end
         else:
             new = a._state()
@@ -178,6 +222,11 @@ class Scanner:
         )
 
 
+def all_templates() -> dict[str, str]:
+    """Short templates and those of whole licence texts."""
+    return TEMPLATES | {label: from_markup(m) for label, m in MARKUP.items()}
+
+
 def _places(words: list[bytes], word: bytes) -> Iterator[int]:
     i = -1
     try:
@@ -194,7 +243,7 @@ def license_column(text: str, phrases: dict[str, str] | None = None, templates:
     ``score`` is c / (c + 2) for c words inside an accepted run, so 0 without a match.
     ``spans`` has every accepted run: label, first word and the word after its last.
     """
-    scanner = Scanner(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
+    scanner = Scanner(PHRASES if phrases is None else phrases, all_templates() if templates is None else templates)
 
     @F.pandas_udf(OUTPUT)
     def scan(texts: pd.Series) -> pd.DataFrame:
@@ -218,24 +267,30 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _as_regex(template: str) -> str:
     """The template as a regular expression over words that each end with a space."""
     out = ""
-    for t in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
-        out += "(?:" if t == "[[" else ")?" if t == "]]" else f"(?:[^ ]+ ){{0,{t[2:-2]}}}" if t[0] == "{" else f"{t} "
+    for t in _TOKEN.findall(template):
+        out += "(?:" if t == "[[" else ")?" if t == "]]" else "(?:[^ ]+ ){{{},{}}}".format(*_bounds(t)) if t[0] == "{" else f"{t} "
     return out
 
 
+def _longest_run(template: str) -> int:
+    """The words that a run of the template has at most."""
+    return sum(0 if t in ("[[", "]]") else _bounds(t)[1] if t[0] == "{" else 1 for t in _TOKEN.findall(template))
+
+
 def oracle() -> str:
     """DuckDB SQL of the query; runs of words are found by regular expressions over the joined words."""
     parts = {p: p.split() for p in PHRASES}
+    templates = all_templates()
     places = " UNION ALL ".join(
         f"SELECT rid, i - 1 AS s, i - 1 + {len(w)} AS e, '{PHRASES[p]}' AS label, true AS base FROM p WHERE w[i:i+{len(w) - 1}] = {w!r}"
         for p, w in parts.items()
     )
     spans = " UNION ALL ".join(
         f"SELECT rid, i - 1, i - 1 + (length(r) - length(replace(r, ' ', ''))), '{k}', false FROM "
-        f"(SELECT rid, i, regexp_extract(array_to_string(w[i:i+40], ' ') || ' ', '^{_as_regex(t)}') AS r FROM p WHERE w[i] = '{t.split()[0]}') WHERE r <> ''"
-        for k, t in TEMPLATES.items()
+        f"(SELECT rid, i, regexp_extract(array_to_string(w[i:i+{_longest_run(t)}], ' ') || ' ', '^{_as_regex(t)}') AS r FROM p WHERE w[i] = '{t.split()[0]}') WHERE r <> ''"
+        for k, t in templates.items()
     )
-    firsts = sorted({w[0] for w in parts.values()} | {t.split()[0] for t in TEMPLATES.values()})
+    firsts = sorted({w[0] for w in parts.values()} | {t.split()[0] for t in templates.values()})
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),

@@ -129,9 +129,62 @@ def test_template_automata():
             license_scan.compile_template("x", bad)
 
 
+def _written(markup: str, optional: bool, fill: str | None = None) -> str:
+    """The licence text that a template stands for, with or without its optional regions."""
+    if optional:
+        markup = re.sub(r"<<(begin|end)Optional>>", "", markup)
+    while "<<begin" in markup:
+        markup = re.sub(r"<<beginOptional>>((?!<<begin).)*?<<endOptional>>", "", markup, flags=re.S)
+    return re.sub(r'<<var;.*?original="(.*?)".*?>>', lambda m: m[1] if fill is None else fill, markup, flags=re.S)
+
+
+@pytest.mark.parametrize("label", sorted(license_scan.MARKUP))
+def test_whole_licence_texts(label):
+    s = license_scan.Scanner(license_scan.PHRASES, license_scan.all_templates())
+    named = lambda t: set(s.scan(t)[5].split(",")) & set(license_scan.MARKUP)
+    markup = license_scan.MARKUP[label]
+    for optional in (True, False):
+        text = _written(markup, optional)
+        assert named(text) == {label} == named("/*\n * " + text.upper().replace("\n", "\n * ") + "\n */ int main")
+        span = next(x for x in s.scan("one two " + text + " end")[7] if x["label"] == label)
+        assert (span["start"], span["end"]) == (2, 2 + len(license_scan.words_of(text)))
+        assert named(_written(markup, optional, "X")) == {label}
+    if "<<var" in markup:
+        assert named(_written(markup, True, "x " * 21)) == set()
+    words = [w.decode() for w in license_scan.words_of(_written(re.sub(r"<<var.*?>>", "", markup, flags=re.S), False))]
+    kept = [w.decode() for w in license_scan.words_of(_written(markup, False))]
+    mandatory = [i for i, w in enumerate(kept) if w in words and kept.count(w) == words.count(w)]
+    for i in mandatory:
+        assert label not in named(" ".join(kept[:i] + ["zzz"] + kept[i + 1 :])), kept[i]
+        assert label not in named(" ".join(kept[:i] + kept[i + 1 :])), kept[i]
+
+
+def test_sql_on_whole_licence_texts():
+    """The documents of the test tables hold no whole licence: the query's SQL and the operator on texts that do."""
+    import duckdb
+
+    s = license_scan.Scanner(license_scan.PHRASES, license_scan.all_templates())
+    texts = [_written(m, o, f) for m in license_scan.MARKUP.values() for o in (True, False) for f in (None, "x y", "x " * 21)]
+    texts += ["(c) me. All rights reserved. " + t + "\n\n" + t for t in texts[::4]] + [None, "", "under the MIT license"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    found = con.sql(license_scan.oracle()).order("doc_id").fetchall()
+    assert [r[1:] for r in found] == [s.scan(t)[:7] for t in texts]
+    assert {x for r in found for x in r[6].split(",")} >= set(license_scan.MARKUP)
+
+
+def test_markup():
+    assert license_scan.from_markup('A <<beginOptional>>b, <<var;name="x";match=".+">><<endOptional>> C-d') == "a [[ b {{1,20}} ]] c d"
+    assert license_scan.from_markup('a <<var;name="x";original="y";match=".{2,3}">>') == "a {{2,3}}"
+    assert license_scan.from_markup('a <<var;name="x";original="y";match=".*">> b') == "a {{0,20}} b"
+    with pytest.raises(ValueError):
+        license_scan.from_markup("a <<other>> b")
+
+
 def test_automaton_against_regex():
     rng, words = random.Random(3), ["a", "b", "c", "d"]
-    for template in ("a [[b]] c", "a {{2}} d", "a [[b {{1}} c]] d [[a]]", "a [[b [[c]] d]] a"):
+    for template in ("a [[b]] c", "a {{2}} d", "a {{1,3}} d", "a {{2,2}}", "a [[b {{1}} c]] d [[a]]", "a [[b [[c]] d]] a"):
         auto = license_scan.compile_template("x", template)
         rx = re.compile(license_scan._as_regex(template))
         for _ in range(300):
