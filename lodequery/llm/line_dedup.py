@@ -99,8 +99,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     rows = rows.where((F.col("i") < SIGNATURE_CHARS) | (F.col("y") <= F.col("low"))).select("h", (F.col("i") == 0).alias("begins"), "y")
     bins = [F.min(F.when(F.col("y").bitwiseAND(F.lit(BINS - 1)) == k, F.col("y"))).alias(f"b{k}") for k in range(BINS)]
     found = rows.groupBy("h").agg(F.count_if("begins").alias("n"), *bins)
-    smallest = F.slice(F.sort_array(F.array_compact(F.array(*[f"b{k}" for k in range(BINS)]))), 1, SIGNATURE)
-    return found.select("h", "n", smallest.alias("s"))
+    # Empty bins are sorted behind and removed without a lambda, which would keep the aggregation out of generated code.
+    values = F.sort_array(F.array(*[F.coalesce(f"b{k}", F.lit(_LARGEST)) for k in range(BINS)]))
+    return found.select("h", "n", F.array_remove(F.slice(values, 1, SIGNATURE), _LARGEST).alias("s"))
 
 
 def _bands(found: DataFrame) -> DataFrame:
@@ -143,8 +144,9 @@ def _pairs(small: DataFrame, crowded: DataFrame) -> DataFrame:
 
 def _hashed(line: Column) -> Column:
     """The distinct shingles of a line, hashed."""
-    starts = lambda p: F.sequence(F.lit(0), (F.length(p) / 4).cast("int") - SHINGLE_CHARS)
-    return _let(_points(line), lambda p: F.array_distinct(F.transform(starts(p), lambda i: _shingle(p, i, SHINGLE_CHARS))))
+    width = 4 * SHINGLE_CHARS
+    starts = lambda p: F.sequence(F.lit(1), F.length(p) - (width - 1), F.lit(4))
+    return _let(_points(line), lambda p: F.array_distinct(F.transform(starts(p), lambda i: F.xxhash64(F.substring(p, i, F.lit(width))))))
 
 
 def _similar(x: Column, y: Column) -> Column:
