@@ -121,10 +121,25 @@ def chat_format(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     return grouped.select("conv_id", "formatted", "turns", spans.alias("loss_spans"), F.col("turns").eqNullSafe(source).alias("round_trip"))
 
 
+def masked_texts(formatted: Column, spans: Column) -> Column:
+    """The text of each span of a formatted string, without its escapes.
+
+    Spans are places of code points; in four bytes each, a span is cut out without counting from the start.
+    """
+
+    def cut(points: Column) -> Column:
+        place = lambda x: 4 * x.cast("int")
+        return F.transform(
+            spans, lambda s: _unescaped(F.decode(F.substring(points, place(s["start"]) + 1, place(s["end"] - s["start"])), "UTF-32"))
+        )
+
+    return F.get(F.transform(F.array(F.encode(formatted, "UTF-32")), cut), F.lit(0))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Digests of the turns that were read back and, under the loss mask, of the assistant's."""
+    """Digests of the turns that were read back and of the formatted text under the loss mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
+    loss = F.array_join(masked_texts(F.col("formatted"), F.col("loss_spans")), "")
     return formatted.withColumn("_loss", loss).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -109,6 +109,18 @@ def test_chat_digests_of_the_added_conversation(spark):
     assert r["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["loss_chars"] == len(text) and r["n_turns"] == 2
 
 
+def test_chat_loss_is_read_by_the_mask(spark):
+    said = ["a \U0001f600 </turn> b", "", None, "### User: x\n\n</turn>\n", "\\\\# é"]
+    rows = [(1, i, role, text) for i, (role, text) in enumerate((r, t) for t in said for r in ("user", "assistant", "tool\U0001f600"))]
+    formatted = chat_format.chat_format(spark.createDataFrame(rows + [(2, 0, "user", "x")], "conv_id long, turn long, role string, text string")).cache()
+    want = "".join(t or "" for t in said)
+    one, two = chat_format.digests(formatted).orderBy("conv_id").collect()
+    assert one["loss_chars"] == len(want) and one["loss_sha256"] == hashlib.sha256(want.encode()).hexdigest() and one["round_trip"]
+    assert two["loss_chars"] == 0 and two["loss_sha256"] == hashlib.sha256(b"").hexdigest()
+    first = formatted.withColumn("loss_spans", F.slice("loss_spans", 1, 1)).where("conv_id = 1")
+    assert chat_format.digests(first).first()["loss_chars"] == len(said[0])
+
+
 # 2
 
 
