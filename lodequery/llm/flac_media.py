@@ -11,9 +11,11 @@ sample offsets at which they can be sought.
 Memory is bounded by some thousand frames at a time beside the rows of one Arrow
 batch. Null and empty texts are a payload of 64 zero bytes; very long texts are
 stored whole; equal texts give equal streams; an empty table gives an empty
-result; other columns are left out. A stream that is damaged raises ValueError.
-Streams with more than one channel or other sample sizes, escaped Rice
-partitions and variable block sizes are not read; they raise ValueError too.
+result; other columns are left out; repeated rows and ids are rows each for itself,
+in no order. A stream that is damaged raises ValueError in :func:`decode_all`; as a
+row of a table it has nulls and an ``error`` instead, and keeps no other row from
+being read. Streams with more than one channel or other sample sizes, escaped Rice
+partitions and variable block sizes are not read, which is such an error too.
 """
 
 from __future__ import annotations
@@ -433,17 +435,29 @@ def _encode_texts(texts: pd.Series) -> pd.Series:
     return pd.Series([m for run in _sliced(map(payload_of, texts)) for m in encode_all(run)], dtype=object)
 
 
-PCM = T.ArrayType(T.StructType([T.StructField("sample_offset", T.LongType()), T.StructField("pcm", T.BinaryType())]))
+def _decoded(medias: list[bytes]) -> list[tuple[bytes | None, str | None]]:
+    """Payload or error of each stream; where one of them can't be read, each is decoded by itself."""
+    try:
+        return [(p, None) for p in decode_all(medias)]
+    except (ValueError, IndexError, struct.error) as e:
+        return [(None, str(e))] if len(medias) == 1 else [x for m in medias for x in _decoded([m])]
+
+
+PCM = T.ArrayType(
+    T.StructType([T.StructField("sample_offset", T.LongType()), T.StructField("pcm", T.BinaryType()), T.StructField("error", T.StringType())])
+)
 
 
 @F.pandas_udf(PCM)
 def _decode_blocks(media: pd.Series) -> pd.Series:
     out = []
     for run in _sliced(b"" if m is None else bytes(m) for m in media):
-        got = iter(decode_all([m for m in run if m]))
+        got = iter(_decoded([m for m in run if m]))
         for m in run:
-            p = next(got) if m else b""
-            out.append([{"sample_offset": i, "pcm": p[i : i + BLOCK * SEEK_EVERY]} for i in range(0, len(p), BLOCK * SEEK_EVERY)])
+            p, error = next(got) if m else (b"", None)
+            step = BLOCK * SEEK_EVERY
+            blocks = [{"sample_offset": i, "pcm": p[i : i + step], "error": None} for i in range(0, len(p or b""), step)]
+            out.append(blocks if error is None else [{"sample_offset": None, "pcm": None, "error": error}])
     return pd.Series(out, dtype=object)
 
 
@@ -453,9 +467,9 @@ def flac_column(text_col: str) -> Column:
 
 
 def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """The decoded streams as blocks: id, ``sample_offset`` and ``pcm``, 8-bit unsigned samples.
+    """The decoded streams as blocks: id, ``sample_offset``, ``pcm``, 8-bit unsigned samples, and ``error``.
 
-    A null or empty stream has no block.
+    A null or empty stream has no block, a damaged one a row with its error alone.
     """
     return df.select(id_col, F.explode(_decode_blocks(F.col(media_col))).alias("_b")).select(id_col, "_b.*")
 
@@ -468,6 +482,7 @@ FEATURES = T.StructType(
         T.StructField("media_bytes", T.LongType()),
         T.StructField("media_sha256", T.StringType()),
         T.StructField("feature", T.StringType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -483,9 +498,10 @@ def feature_of(payload: bytes) -> str:
 def _read_back(media: pd.Series) -> pd.DataFrame:
     rows = []
     for run in _sliced(bytes(m) for m in media):
-        for m, p in zip(run, decode_all(run), strict=True):
-            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(p)))
-    return pd.DataFrame(rows, columns=FEATURES.names)
+        for m, (p, error) in zip(run, _decoded(run), strict=True):
+            of_payload = (None, None, None, None) if p is None else (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-PAD:]), feature_of(p))
+            rows.append((*of_payload[:3], len(m), hashlib.sha256(m).hexdigest(), of_payload[3], error))
+    return pd.DataFrame(rows, columns=FEATURES.names).astype({"payload_bytes": "Int64", "tail_crc32": "Int64"})
 
 
 def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

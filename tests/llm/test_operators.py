@@ -398,6 +398,32 @@ def test_flac_damage_is_found():
         flac_media.decode_all([b"RIFF"])
 
 
+def test_flac_query_against_plain_python(spark, docs):
+    rows = {r["doc_id"]: r for r in flac_media.op6_flac_media(spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    assert rows.keys() == texts.keys()
+    media = flac_media.encode_all([flac_media.payload_of(texts[k]) for k in rows])
+    for (k, r), m in zip(rows.items(), media, strict=True):
+        raw = (texts[k] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        samples = [b - 128 for b in payload]
+        mean, rms = sum(samples) / len(samples), (sum(s * s for s in samples) / len(samples)) ** 0.5
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest())
+        assert r["feature"] == f"mean={mean:.4f};rms={rms:.4f};crossings={crossings}" and r["error"] is None
+
+
+def test_flac_damage_is_an_error_of_its_row(spark):
+    good = flac_media.encode_all([flac_media.payload_of("some text " * 200)])[0]
+    bad = [good[:-1] + bytes([good[-1] ^ 4]), good[: len(good) // 2], good[:3], b"RIFF", b"fLaC", good[:30]]
+    rows = [(0, good), *enumerate(bad, 1), (9, good), (10, None)]
+    blocks = flac_media.pcm_blocks(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert {b["doc_id"] for b in blocks if b["error"] is None} == {0, 9}
+    assert sorted(b["doc_id"] for b in blocks if b["error"]) == [1, 2, 3, 4, 5, 6]
+    assert all(b["pcm"] is None and b["sample_offset"] is None for b in blocks if b["error"])
+
+
 def test_pcm_blocks_are_seekable(spark):
     df = spark.createDataFrame([(1, "abc " * 5000), (2, None)], "doc_id long, text string")
     stored = df.select("doc_id", flac_media.flac_column("text").alias("media"))
